@@ -1,9 +1,13 @@
 """The queries opN_<name>, each over its whole table, and their SQL where SQL can express them."""
 
-from objekta.llm import decontaminate
+from objekta.llm import decontaminate, mixing, simhash
 
 QUERIES = {
+    "op7_simhash": simhash.op7_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_mix": mixing.op10_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mix": mixing.OP10_SQL,
+}
