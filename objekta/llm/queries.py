@@ -1,9 +1,11 @@
 """The queries opN_<name>, each over its whole table, and their SQL where SQL can express them."""
 
-from objekta.llm import decontaminate, mixing, simhash
+from objekta.llm import decontaminate, mixing, simhash, token_counts, token_files
 
 QUERIES = {
+    "op5_token_files": token_files.op5_token_files,
     "op7_simhash": simhash.op7_simhash,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix": mixing.op10_mix,
 }
