@@ -1,8 +1,9 @@
 """The queries opN_<name>, each over its whole table, and their SQL where SQL can express them."""
 
-from objekta.llm import decontaminate, mixing, simhash, token_counts, token_files
+from objekta.llm import decontaminate, mixing, quality, simhash, token_counts, token_files
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op5_token_files": token_files.op5_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_token_counts": token_counts.op8_token_counts,
