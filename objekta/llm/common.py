@@ -44,6 +44,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def solid(df: DataFrame, *columns) -> DataFrame:
+    """A select whose columns are computed once: neither projections nor filters that follow are merged into it (they would repeat it inside lambdas)."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objekta.llm.common import table, words
+from objekta.llm.common import SPACE, solid, table
 
 WINDOW = 8
 #: Labelled documents that learning reads at most.
@@ -56,32 +56,46 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _windows(w: Column) -> Column:
+    """Hashes of the 8-word windows: of words, then of pairs, of fours and of eights."""
+    double = lambda h, step: F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda x, y: F.xxhash64(x, y))
+    eights = lambda fours: F.slice(double(fours, 4), 1, F.size(fours) - WINDOW + 1)
+    return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(double(h, 1), lambda twos: _let(double(twos, 2), eights)))
+
+
 def statistics(documents: DataFrame, *keep: str) -> DataFrame:
     """The columns keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     count = lambda kind: F.length(F.regexp_replace("body", f"[^{kind}]+", ""))
-    a = documents.select(*keep, text.alias("body"), words(text).alias("w"), F.filter(F.split(text, "\n"), has_word).alias("lines"))
+    body = F.btrim(text, F.lit(" \t\n\v\f\r"))
+    split = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE + "+"))
+    a = solid(documents, *keep, body.alias("body"), split.alias("w"), F.filter(F.split(text, "\n"), has_word).alias("lines"))
     n = F.size("w")
-    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
-    b = a.select(
-        *keep, "body", n.cast("long").alias("n_words"), windows.alias("windows"),
-        (F.length("body") - F.length(F.regexp_replace("body", r"[^\x20\x09-\x0D]+", ""))).cast("long").alias("word_chars"),
+    b = solid(
+        a, *keep, n.cast("long").alias("n_words"), F.when(n > WINDOW, _windows(F.col("w"))).alias("windows"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("word_chars"),
         count(r"#*$%&|<>").cast("long").alias("n_symbols"), count("A-Z").alias("upper"), count("!?").alias("shouts"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_lines_distinct"), F.size(F.array_distinct("w")).alias("n_distinct"),
     )
     # Places of the windows that occur twice or more: neighbours in the order of their hashes. Few texts have any.
     ordered = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    c = b.withColumn("ordered", ordered).drop("windows", "body")
+    rest = [c for c in b.columns if c != "windows"]
+    c = solid(b, *rest, ordered.alias("ordered"))
     again = lambda e, k: (F.get("ordered", k - 1)["h"] == e["h"]) | (F.get("ordered", k + 1)["h"] == e["h"])
     starts = F.sort_array(F.transform(F.filter("ordered", lambda e, k: F.coalesce(again(e, k), F.lit(False))), lambda e: e["i"]))
-    c = c.withColumn("starts", starts).drop("ordered")
+    c = solid(c, *rest, starts.alias("starts"))
     nothing = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("starts", nothing, lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"), p.alias("last")))["n"]
-    d = c.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).withColumn("n_dup_lines", (F.col("n_lines") - F.col("n_lines_distinct")).cast("long"))
+    d = solid(c, *rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), (F.col("n_lines") - F.col("n_lines_distinct")).cast("long").alias("n_dup_lines"))
     share = lambda x, of: F.coalesce(F.try_divide(F.col(x).cast("double"), F.col(of).cast("double")), F.lit(0.0))
-    return d.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return solid(
+        d, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("word_length"), share("n_symbols", "n_words").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"), share("upper", "word_chars").alias("upper_share"), share("shouts", "n_words").alias("shout_share"),
         share("n_distinct", "n_words").alias("distinct_share"), share("n_words", "n_lines").alias("line_words"),
