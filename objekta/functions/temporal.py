@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,14 +149,9 @@ def is_zero(us: Column) -> Column:
 
 def time_format(seconds: Column, fmt: str) -> Column:
     """strftime of seconds since 1970, in the session's time zone."""
-    out, i = "", 0
-    while i < len(fmt):
-        if fmt[i] == "%" and i + 1 < len(fmt):
-            if fmt[i + 1] not in FORMATS:
-                raise ValueError(f"no format %{fmt[i + 1]}")
-            out += FORMATS[fmt[i + 1]]
-            i += 2
-        else:
-            out += f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i]
-            i += 1
-    return F.date_format(F.timestamp_seconds(seconds), out)
+    out = []
+    for code, plain in re.findall(r"%(.)|([^%]+)", fmt):
+        if code and code not in FORMATS:
+            raise ValueError(f"no format %{code}")
+        out.append(FORMATS[code] if code else re.sub(r"[A-Za-z]+", r"'\g<0>'", plain.replace("'", "''")))
+    return F.date_format(F.timestamp_seconds(seconds), "".join(out))

@@ -110,7 +110,7 @@ def test_maths(value):
     assert value(maths.erf(x), maths.erfc(x), maths.lgamma(x), maths.ilogb(L(12.0)), maths.logb(L(0.3)), maths.remainder(L(5.0), L(3.0)), maths.scalb(L(3.0), L(2)), maths.nextafter(x, L(1.0))) == (math.erf(0.7), math.erfc(0.7), math.lgamma(0.7), 3, -2.0, -1.0, 12.0, math.nextafter(0.7, 1))
     assert value(maths.erf(L(None).cast("double"))) is None and value(maths.ceil(L(1.2)), maths.floor(L(-1.2)), maths.fmod(L(-7.0), L(2.0)), maths.isnan(L(float("nan"))), maths.log(L(1.0)), maths.fabs(L(-2.0))) == (2.0, -2.0, -1.0, 1, 0.0, 2.0)
     # Values from tables of Bessel functions.
-    known = [(maths.j0(L(1.0)), 0.7651976865579666), (maths.j1(L(1.0)), 0.44005058574493355), (maths.jn(L(2), L(10.0)), 0.2546303136851206), (maths.y0(L(1.0)), 0.08825696421567698), (maths.y1(L(1.0)), -0.7812128213002887), (maths.yn(L(2), L(3.0)), -0.16040039348492373), (maths.y1(L(2.404825557695773)), 0.5103756726497451 * 0 + value(maths.y1(L(2.404825557695773))))]
+    known = [(maths.j0(L(1.0)), 0.7651976865579666), (maths.j1(L(1.0)), 0.44005058574493355), (maths.jn(L(2), L(10.0)), 0.2546303136851206), (maths.y0(L(1.0)), 0.08825696421567698), (maths.y1(L(1.0)), -0.7812128213002887), (maths.yn(L(2), L(3.0)), -0.16040039348492373)]
     for c, want in known:
         assert value(c) == pytest.approx(want, abs=1e-10)
     j0, j1, y0, y1 = value(maths.j0(L(2.4)), maths.j1(L(2.4)), maths.y0(L(2.4)), maths.y1(L(2.4)))
@@ -146,7 +146,7 @@ def test_stream(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1, i // 4, 15 * (i % 4)), i % 2, "view", 1.0, "{}") for i in range(40)]
     frame = spark.createDataFrame([*rows, rows[3]], events.SCHEMA)
     frame.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = events.windowed(events.distinct_events(events.read(spark, str(tmp_path / "in"))))
+    stream = events.windowed(events.distinct_events(events.read(spark, str(tmp_path / "in"))), late=None)
     events.append_to(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     out = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert out.where("n != 4").count() == 0
