@@ -113,13 +113,20 @@ def _gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
     return bad * (np.log2(bad / (bad + good)) - np.log2(bad_before / (bad_before + good_before)))
 
 
+def _thresholds(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Midpoints between neighbouring quantiles of either class: a rare class gets as many as a common one."""
+    share = np.linspace(0, 1, THRESHOLDS)
+    at = np.unique(np.concatenate([np.quantile(x[bad], share, method="nearest"), np.quantile(x[~bad], share, method="nearest")]))
+    return (at[1:] + at[:-1]) / 2
+
+
 def _grow(values: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     rule: list[Condition] = []
     inside = np.ones(len(bad), dtype=bool)
     while len(rule) < MOST_CONDITIONS and (~bad[inside]).any():
         n_bad, n_good, best, gain = int(bad[inside].sum()), int((~bad[inside]).sum()), None, 1e-9
         for feature in FEATURES:
-            for t in np.unique(np.quantile(values[feature][inside], np.linspace(0, 1, THRESHOLDS))):
+            for t in _thresholds(values[feature][inside], bad[inside]):
                 for above in (True, False):
                     c = Condition(feature, above, float(t))
                     now = inside & c.holds(values)
