@@ -122,6 +122,15 @@ def minus(ts: Column, interval) -> Column:
     return F.timestamp_micros(micros(ts) - _lit(interval))
 
 
+def zoned(ts: Column, minutes) -> Column:
+    """The clock of a zone that is so many minutes ahead of GMT."""
+    return plus(ts, _lit(minutes).cast("long") * MINUTE)
+
+
+def to_gmt(ts: Column, minutes) -> Column:
+    return minus(ts, _lit(minutes).cast("long") * MINUTE)
+
+
 def interval_between(a: Column, b: Column) -> Column:
     return micros(a) - micros(b)
 

@@ -13,19 +13,22 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession
 
 CollectionKind = Literal["set", "bag", "list", "array"]
-Kind = Literal["scalar", "literal", "reference", "inverse", "set", "bag", "list", "array"]
+Kind = Literal["scalar", "literal", "reference", "inverse", "link", "set", "bag", "list", "array"]
 
 
 @dataclass(frozen=True)
 class Attribute:
     """column: where the table has it (the name itself if empty). target: class of a reference or inverse collection.
-    via: the reference attribute of the target that an inverse collection goes back by. least and most: cardinality."""
+    via: the reference attribute of the target that an inverse collection goes back by. through, via, to: the class whose
+    objects link owners (its attribute via) and elements (to) of an N-N relationship. least and most: cardinality."""
 
     name: str
     kind: Kind = "scalar"
     column: str = ""
     target: str = ""
     via: str = ""
+    through: str = ""
+    to: str = ""
     unique: bool = False
     not_null: bool = False
     least: int | None = None
@@ -48,6 +51,10 @@ def inverse(name: str, target: str, via: str, **more) -> Attribute:
     return Attribute(name, "inverse", "", target, via, **more)
 
 
+def link(name: str, target: str, through: str, via: str, to: str, **more) -> Attribute:
+    return Attribute(name, "link", "", target, via, through, to, **more)
+
+
 def collection(kind: CollectionKind, name: str, column: str = "", **more) -> Attribute:
     return Attribute(name, kind, column, **more)
 
@@ -80,8 +87,9 @@ class Schema:
             if c.extends and c.extends not in schema.classes:
                 raise ValueError(f"{c.name} extends {c.extends}, which is not declared")
             for a in c.attributes:
-                if a.target and a.target not in schema.classes:
-                    raise ValueError(f"{c.name}.{a.name} refers to {a.target}, which is not declared")
+                for other in (a.target, a.through):
+                    if other and other not in schema.classes:
+                        raise ValueError(f"{c.name}.{a.name} refers to {other}, which is not declared")
         return schema
 
     def __getitem__(self, name: str) -> ClassDef:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAXINT = (1 << 63) - 1
@@ -67,6 +67,21 @@ def cardinality(values: Column) -> Column:
 count = cardinality
 
 
+def dimensions(values: Column, depth: int) -> Column:
+    """Sizes of a regular array of arrays, outermost first."""
+    sizes = []
+    for _ in range(depth):
+        sizes.append(F.size(values))
+        values = F.get(values, F.lit(0))
+    return F.array(*sizes)
+
+
+def split_every(values: Column, n: int) -> Column:
+    """An array of arrays of n elements each (the last may have fewer)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(n))
+    return F.when(F.size(values) > 0, F.transform(starts, lambda i: F.slice(values, i, n))).otherwise(F.slice(F.array(values), 1, 0))
+
+
 def total(values: Column, nulls_raise: bool = False) -> Column:
     """0 of no elements. Nulls are skipped unless they are to raise."""
     zero = F.lit(0).cast("double")
@@ -132,6 +147,17 @@ def if_empty(values: Column, other: Column) -> Column:
     return F.when(cardinality(values) == 0, other).otherwise(values)
 
 
+def equal_by_place(df: DataFrame, a: str, b: str) -> Column:
+    """Two struct columns field by field, in order; the names of fields don't matter, but their number does."""
+    x, y = df.schema[a].dataType.names, df.schema[b].dataType.names
+    if len(x) != len(y):
+        return F.lit(False)
+    out = F.lit(True)
+    for m, n in zip(x, y, strict=True):
+        out = out & F.col(a).getField(m).eqNullSafe(F.col(b).getField(n))
+    return out
+
+
 def interval(low: Column, high: Column) -> Column:
     """Integers from low to high, both included; none if low is above high."""
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))

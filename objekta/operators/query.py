@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objekta.model import Attribute
 from objekta.sources.catalog import Catalog
 
 Path = Callable[[str], Column]
@@ -60,7 +61,7 @@ class From:
             if a.kind == "reference" and not last:
                 cls = a.target
                 steps.append((prefix, cls))
-            elif a.kind == "inverse":
+            elif a.kind in ("inverse", "link"):
                 raise ValueError(f"{path} goes through a collection: unnest it, or use any_of() or collect()")
             elif not last:
                 return steps, prefix
@@ -109,16 +110,26 @@ class From:
         owner, _, attribute = path.rpartition(".")
         cls = self._class_at(owner)
         a = self.catalog.schema.attribute(cls, attribute)
-        if a.kind == "inverse":
+        if a.kind in ("inverse", "link"):
             query, c, _ = self._resolve([f"{owner}.{self.catalog.key(cls)}"])
-            rows = self._renamed(a.target, name)
-            return query._with(query.df.join(rows, column(f"{name}.{a.via}") == next(iter(c.values()))), **{name: a.target})
+            inner, back = self._elements(a, name)
+            return query._with(query.df.join(inner.df, column(back) == next(iter(c.values()))), **{name: a.target})
         query, c, _ = self._resolve([path])
         kept = [column(x) for x in query.df.columns]
         if index:
             return query._with(query.df.select(*kept, F.posexplode(c[path]).alias(index, name)), **{name: "", index: ""})
         return query._with(query.df.select(*kept, F.explode(c[path]).alias(name)), **{name: ""})
 
+    def _elements(self, a: Attribute, name: str) -> tuple[From, str]:
+        """Elements of all owners as the variable name, and the column with the owner's key."""
+        inner = From(self.catalog, **{name: a.target})
+        if a.kind == "inverse":
+            return inner, f"{name}.{a.via}"
+        back = f"{name}.__owner"
+        links = self.catalog.extent(a.through).where(F.col(a.via).isNotNull() & F.col(a.to).isNotNull())
+        links = links.select(F.col(a.via).alias(back), F.col(a.to).alias("__element")).distinct()
+        return inner._with(inner.df.join(links, column(f"{name}.{self.catalog.key(a.target)}") == F.col("__element")).drop("__element")), back
+
     def _class_at(self, path: str) -> str:
         parts = path.split(".")
         cls = self.classes[parts[0]]
@@ -131,10 +142,10 @@ class From:
         owner, _, attribute = path.rpartition(".")
         cls = self._class_at(owner)
         a = self.catalog.schema.attribute(cls, attribute)
-        inner = From(self.catalog, e=a.target)
+        inner, back = self._elements(a, "e")
         inner = inner.where(condition) if condition else inner
         query, c, _ = self._resolve([f"{owner}.{self.catalog.key(cls)}"])
-        keys = inner.df.select(column(f"e.{a.via}").alias("__owner"))
+        keys = inner.df.select(column(back).alias("__owner"))
         return query._with(query.df.join(keys, F.col("__owner") == next(iter(c.values())), "left_anti" if negate else "left_semi"))
 
     def all_of(self, path: str, condition: Callable[[Path], Column]) -> From:
@@ -151,10 +162,11 @@ class From:
         owner, _, attribute = path.rpartition(".")
         cls = self._class_at(owner)
         a = self.catalog.schema.attribute(cls, attribute)
-        inner, values = From(self.catalog, e=a.target), {}
+        inner, back = self._elements(a, "e")
+        values = {}
         for name, (make, _) in aggregates.items():
             inner, values[name] = inner._use(make)
-        rows = inner.df.groupBy(column(f"e.{a.via}").alias(f"{path}.__owner")).agg(*[fn(values[n]).alias(n) for n, (_, fn) in aggregates.items()])
+        rows = inner.df.groupBy(column(back).alias(f"{path}.__owner")).agg(*[fn(values[n]).alias(n) for n, (_, fn) in aggregates.items()])
         query, c, _ = self._resolve([f"{owner}.{self.catalog.key(cls)}"])
         return query._with(query.df.join(rows, column(f"{path}.__owner") == next(iter(c.values())), "left"), **{n: "" for n in aggregates})
 
@@ -169,6 +181,10 @@ class From:
         other = keys.select(F.col(keys.columns[0]).alias("__key"))
         return query._with(query.df.join(other, F.col("__key") == c[path], "left_anti" if negate else "left_semi"))
 
+    def everything(self, variable: str) -> DataFrame:
+        """select *: the stored attributes of one variable."""
+        return self.df.select(*[column(c).alias(c[len(variable) + 1 :]) for c in self.df.columns if c.startswith(variable + ".") and "." not in c[len(variable) + 1 :] and "__" not in c])
+
     def select(self, *paths: str, distinct: bool = False, keep_null_paths: bool = False, **named: str | Callable[[Path], Column]) -> DataFrame:
         """Columns by name, each a path or a function of paths; positional paths are named by their last part."""
         wanted = {p.rpartition(".")[2]: p for p in paths} | named

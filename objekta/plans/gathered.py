@@ -146,6 +146,19 @@ def one_to_one(spark, d):
     return From(catalog(spark, d), l="Label").where(lambda p: p("l.toxic") == 1).select("l.document.doc_id", "l.document.n_chars", "l.quality")
 
 
+@query("SELECT vec_id, '64' AS flat, '8,8' AS dims, round(list_sum(list_transform(range(1, 9), lambda i: embedding[(i - 1) * 8 + i]::DOUBLE)), 6) AS trace FROM embeddings")
+def array_of_arrays(spark, d):
+    rows = catalog(spark, d).extent("Embedding").select("vec_id", C.split_every(F.col("embedding").cast("array<double>"), 8).alias("m"))
+    diagonal = C.fold(F.transform("m", lambda row, i: F.get(row, i)), F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("vec_id", _text(C.dimensions(C.flatten(F.col("m")), 1)).alias("flat"), _text(C.dimensions(F.col("m"), 2)).alias("dims"), F.round(diagonal, 6).alias("trace"))
+
+
+@query("SELECT o_orderkey AS orderkey, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS same FROM orders")
+def struct_equality(spark, d):
+    rows = catalog(spark, d).extent("Order").select("orderkey", C.struct_of(a=F.col("orderstatus"), b=F.col("orderpriority")).alias("x"), C.struct_of(status=F.lit("F"), priority=F.lit("1-URGENT")).alias("y"))
+    return rows.select("orderkey", C.equal_by_place(rows, "x", "y").alias("same"))
+
+
 # Functions of the user
 
 

@@ -208,6 +208,39 @@ def path_over_nested_select(spark, d):
     return From(catalog(spark, d), o="Order").where(lambda p: p("o.totalprice") > 320000).select("o.customer.name", distinct=True)
 
 
+@query("SELECT r_regionkey AS regionkey, r_name AS name FROM region")
+def select_everything(spark, d):
+    return From(catalog(spark, d), r="Region").everything("r")
+
+
+@query("SELECT DISTINCT p_partkey AS partkey, s_suppkey AS suppkey FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size = 7")
+def many_to_many(spark, d):
+    return From(catalog(spark, d), p="Part").where(lambda p: p("p.size") == 7).unnest("s", "p.suppliers").select("p.partkey", "s.suppkey")
+
+
+@query("SELECT p_partkey AS partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0)")
+def many_to_many_for_all(spark, d):
+    return From(catalog(spark, d), p="Part").all_of("p.suppliers", lambda p: p("e.acctbal") >= 0).select("p.partkey")
+
+
+@query("SELECT p_partkey AS partkey, coalesce(n, 0) AS n, most FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT s_suppkey) AS n, max(s_acctbal) AS most FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) ON l_partkey = p_partkey")
+def many_to_many_aggregate(spark, d):
+    q = From(catalog(spark, d), p="Part").collect("p.suppliers", n=(lambda p: F.lit(1), F.count), most=(lambda p: p("e.acctbal"), F.max))
+    return q.select("p.partkey", n=lambda p: F.coalesce(column("n"), F.lit(0)), most=lambda p: column("most"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'error' AND value > 5")
+def class_cast(spark, d):
+    cat = catalog(spark, d)
+    return cat.read("events").where((cat.class_of("Event") == "Error") & (F.col("value") > 5)).select("event_id", "value")
+
+
+@query("SELECT c_custkey AS custkey, n_name AS nation, s.n AS n_suppliers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey WHERE c_acctbal > 5000")
+def aggregate_at_path_end(spark, d):
+    q = From(catalog(spark, d), c="Customer").where(lambda p: p("c.acctbal") > 5000).count_of("c.nation.suppliers", "n_suppliers")
+    return q.where(lambda p: column("n_suppliers") > 0).select("c.custkey", nation="c.nation.name", n_suppliers=lambda p: column("n_suppliers"))
+
+
 # Aggregates over queries
 
 

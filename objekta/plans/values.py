@@ -219,6 +219,11 @@ def time_stamps(spark, d):
     return _rows(spark, d, "Event").select("event_id", temporal.plus(ts, temporal.interval(minutes=90)).alias("p"), temporal.minus(ts, temporal.interval(days=1)).alias("m"), i.alias("i"), temporal.quotient(i, temporal.HOUR).alias("hours"))
 
 
+@query("SELECT event_id, ts + INTERVAL 330 MINUTE AS india, ts - INTERVAL 330 MINUTE AS gmt FROM events")
+def time_zones(spark, d):
+    return _rows(spark, d, "Event").select("event_id", temporal.zoned(F.col("ts"), 330).alias("india"), temporal.to_gmt(F.col("ts"), 330).alias("gmt"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS t FROM events")
 def time_format(spark, d):
     return _rows(spark, d, "Event").select("event_id", temporal.time_format(temporal.micros(F.col("ts")) / 1000000, "%Y/%m/%d %H:%M:%S").alias("t"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from objekta.model import Schema
@@ -54,7 +54,7 @@ class Catalog:
             for sub in schema.subclasses(name):
                 if sub != name and schema[sub].where:
                     rows = rows.where(~F.coalesce(F.expr(schema[sub].where), F.lit(False)))
-        stored = {a.name: a for a in schema.attributes(name).values() if a.kind != "inverse"}
+        stored = {a.name: a for a in schema.attributes(name).values() if a.kind not in ("inverse", "link")}
         return rows.select(*[F.col(a.stored).alias(n) for n, a in stored.items()])
 
     def key(self, name: str) -> str:
@@ -72,6 +72,16 @@ class Catalog:
         """The objects with these keys."""
         return self.extent(name).where(F.col(self.key(name)).isin(list(keys)))
 
+    def iterate(self, name: str) -> Iterator[Row]:
+        """A cursor: a partition at a time comes to the driver."""
+        return self.extent(name).toLocalIterator(prefetchPartitions=True)
+
+    def modified(self, name: str) -> DataFrame:
+        """Keys with the time at which the file that holds the object was written."""
+        root = self.schema.root(name)
+        key = self.schema.attribute(root.name, root.key).stored
+        return self.read(root.table).select(F.col(key).alias(root.key), F.col("_metadata.file_modification_time").alias("modified"))
+
     def export(self, folder: str, tables: Iterable[str]) -> None:
         for t in tables:
             self.read(t).write.parquet(f"{folder}/{t}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from objekta.model import ClassDef, Schema, collection, inverse, literal, reference, scalar
+from objekta.model import ClassDef, Schema, collection, inverse, link, literal, reference, scalar
 from objekta.sources.catalog import Catalog
 
 EVENT_KINDS = ("view", "signup", "purchase", "error", "click")
@@ -25,7 +25,7 @@ SCHEMA = Schema.of(
     ClassDef("Supplier", (scalar("suppkey", "s_suppkey", unique=True), scalar("name", "s_name"), scalar("acctbal", "s_acctbal"), reference("nation", "Nation", "s_nationkey"), inverse("lines", "Lineitem", "supplier")), "supplier", "suppkey"),
     ClassDef(
         "Part",
-        (scalar("partkey", "p_partkey", unique=True), scalar("name", "p_name"), scalar("brand", "p_brand"), scalar("type", "p_type"), scalar("size", "p_size"), scalar("retailprice", "p_retailprice"), inverse("lines", "Lineitem", "part")),
+        (scalar("partkey", "p_partkey", unique=True), scalar("name", "p_name"), scalar("brand", "p_brand"), scalar("type", "p_type"), scalar("size", "p_size"), scalar("retailprice", "p_retailprice"), inverse("lines", "Lineitem", "part"), link("suppliers", "Supplier", "Lineitem", "part", "supplier")),
         "part", "partkey",
     ),
     ClassDef(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objekta.functions.registry import Functions, Methods
-from objekta.model import ClassDef, Schema, collection, inverse, literal, reference, scalar
+from objekta.model import ClassDef, Schema, collection, inverse, link, literal, reference, scalar
 from objekta.operators import changes, integrity
 from objekta.operators.query import From, column, matching
 from objekta.sources.catalog import Catalog, across
@@ -12,12 +12,13 @@ from objekta.sources.catalog import Catalog, across
 SCHEMA = Schema.of(
     ClassDef(
         "Person",
-        (scalar("id", unique=True), scalar("name", not_null=True), scalar("age"), literal("addr"), collection("array", "nicknames"), reference("spouse", "Person"), inverse("cars", "Car", "owner", most=2), inverse("admirers", "Person", "spouse")),
+        (link("brands", "Car", "Ride", "rider", "car"), scalar("id", unique=True), scalar("name", not_null=True), scalar("age"), literal("addr"), collection("array", "nicknames"), reference("spouse", "Person"), inverse("cars", "Car", "owner", most=2), inverse("admirers", "Person", "spouse")),
         "people", "id",
     ),
     ClassDef("Employee", (scalar("salary"),), extends="Person", where="kind in ('e', 'm')"),
     ClassDef("Manager", (scalar("bonus"),), extends="Employee", where="kind = 'm'"),
     ClassDef("Car", (scalar("num", unique=True), scalar("brand"), reference("owner", "Person")), "cars", "num"),
+    ClassDef("Ride", (reference("rider", "Person"), reference("car", "Car")), "rides", ""),
     enums={"CivilState": {"LADY": 16, "SIR": 32}},
 )
 
@@ -35,7 +36,7 @@ CARS = [(10, "fiat", 1), (11, "vw", 1), (12, "fiat", 2), (13, None, None), (14,
 def cat(spark):
     people = spark.createDataFrame(PEOPLE, "id long, name string, age int, addr struct<street:string,town:string>, nicknames array<string>, spouse long, kind string, salary long, bonus long")
     cars = spark.createDataFrame(CARS, "num long, brand string, owner long")
-    return Catalog.frames(spark, SCHEMA, {"people": people, "cars": cars})
+    return Catalog.frames(spark, SCHEMA, {"people": people, "cars": cars, "rides": spark.createDataFrame([(1, 10), (1, 10), (1, 12), (2, 12), (None, 12), (4, None)], "rider long, car long")})
 
 
 def got(df):
@@ -81,6 +82,11 @@ def test_collections(cat):
     assert got(q.any_of("p.spouse.cars", lambda p: p("e.brand") == "vw").select("p.id")) == [(2,), (4,)]
     assert got(q.within("p.id", cat.extent("Car").select("owner")).select("p.id")) == [(1,), (2,)]
     assert got(q.within("p.id", cat.extent("Car").select("owner"), negate=True).select("p.id")) == [(3,), (4,), (5,)]
+    assert got(q.unnest("c", "p.brands").select("p.id", "c.num")) == [(1, 10), (1, 12), (2, 12)]
+    assert got(q.any_of("p.brands", negate=True).select("p.id")) == [(3,), (4,), (5,)]
+    assert got(q.count_of("p.brands", "n").where(lambda p: column("n") > 0).select("p.id", n=lambda p: column("n"))) == [(1, 2), (2, 1)]
+    assert q.where(lambda p: p("p.id") == 1).everything("p").columns == ["id", "name", "age", "addr", "nicknames", "spouse", "salary", "bonus"]
+    assert [r.num for r in cat.iterate("Car")] == [10, 11, 12, 13, 14, 15]
     assert got(q.unnest("c", "p.cars").select("c.brand", distinct=True)) == [("fiat",), ("vw",)]
     with pytest.raises(ValueError):
         q.count_of("p.cars", "p")
@@ -113,7 +119,9 @@ def test_checks(cat):
 
 def test_export(cat, tmp_path, spark):
     cat.export(str(tmp_path), ["cars"])
-    assert got(Catalog.parquet(spark, SCHEMA, str(tmp_path)).extent("Car")) == got(cat.extent("Car"))
+    back = Catalog.parquet(spark, SCHEMA, str(tmp_path))
+    assert got(back.extent("Car")) == got(cat.extent("Car"))
+    assert back.modified("Car").where("modified is not null").count() == 6
 
 
 def test_functions_and_methods(cat):
