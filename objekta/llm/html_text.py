@@ -8,8 +8,8 @@ content nodes; the element that holds them (an article, a main or the deepest ot
 score) is the article, and gives all its blocks in page order. Where that element is not an article or main, blocks
 before the first and after the last content node go, but for a heading right before the first.
 
-Elements whose tag or class says menu, header, footer, sidebar, notice, advert, form, script, style or comment are left
-out first (HINTS); if nothing else is left, only tags count, and then a form around the whole page is let in.
+Elements whose tag, class, id or role says menu, header, footer, sidebar, notice, advert, form, script, style or comment are left
+out first (HINTS; not where the element holds the article itself, as a layout without a sidebar does); if nothing else is left, only tags count, and then a form around the whole page is let in.
 
 Pages are independent: a map over Arrow batches without a shuffle. One page is held at a time.
 
@@ -56,13 +56,17 @@ LEFT_OUT = frozenset("head nav footer aside form menu dialog button label".split
 CONTENT = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
-#: Words of class, id and role that mark what is no article. Compared with whole words of the attribute.
+#: Words of class, id and role that mark what stands around an article even if it has a heading of the first order.
+EDGES = frozenset("header masthead topbar banner nav navbar navigation menu footer foot bottombar".split())
+#: Words that a layout around the whole article may have too, as in no-sidebar.
+LAYOUT = EDGES.union("sidebar side rail aside ad ads search tags".split())
+#: Words that mark what is no article. Compared with whole words of the attribute.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
-    " header masthead topbar footer foot bottombar sidebar side rail aside widget widgets comment comments commentlist replies reply discussion disqus responses"
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs"
+    " sidebar side rail aside widget widgets comment comments commentlist replies reply discussion disqus responses"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login form search share sharing social"
     " related recommended recommendations pagination pager tags copyright legal disclaimer skip contentinfo complementary".split()
-)
+).union(EDGES)
 
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -71,25 +75,33 @@ _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"""[.,;:!?…。，、！？；：]""")
 
 
-def _hint(attributes: str) -> tuple[str, bool]:
-    """First class, and whether class, id or role has a word of HINTS."""
-    first, hinted = "", False
+def _hint(attributes: str) -> tuple[str, set[str]]:
+    """First class, and the words of HINTS in class, id and role."""
+    first, hinted = "", set()
     for kind, value in _NAMES.findall(attributes):
         value = value.strip("\"'").lower()
         if kind.lower() == "class" and not first:
             first = value.split(" ")[0]
-        hinted = hinted or any(w in HINTS for w in _WORD.findall(value))
+        hinted.update(w for w in _WORD.findall(value) if w in HINTS)
     return first, hinted
 
 
 class _Element:
-    __slots__ = ("name", "path", "out", "out_but_forms", "hinted", "parent", "order", "score")
+    __slots__ = ("name", "path", "out", "out_but_forms", "hints", "holds", "titled", "parent", "order", "score")
 
-    def __init__(self, name: str, path: str, gone: bool, hinted: bool, parent: _Element | None, order: int):
-        self.name, self.path, self.parent, self.order, self.score = name, path, parent, order, 0.0
+    def __init__(self, name: str, path: str, gone: bool, hints: set[str], parent: _Element | None, order: int):
+        self.name, self.path, self.hints, self.parent, self.order, self.score = name, path, hints, parent, order, 0.0
+        self.holds = self.titled = False
         self.out = gone or (parent is not None and parent.out)
         self.out_but_forms = (gone and name != "form") or (parent is not None and parent.out_but_forms)
-        self.hinted = hinted or (parent is not None and parent.hinted)
+
+    def hinted(self) -> bool:
+        e = self
+        while e is not None:
+            if e.hints - (LAYOUT if e.holds else LAYOUT - EDGES if e.titled else frozenset()):
+                return True
+            e = e.parent
+        return False
 
 
 class _Block:
@@ -101,7 +113,7 @@ class _Block:
 
 def blocks(html: str) -> list[_Block]:
     """The page's blocks in order, boilerplate included."""
-    root = _Element("#", "", False, False, None, 0)
+    root = _Element("#", "", False, set(), None, 0)
     stack, out, text = [root], [], []
     n, link_depth, linked, at, size = 0, 0, 0, 0, len(html)
 
@@ -169,13 +181,19 @@ def blocks(html: str) -> list[_Block]:
             flush()
             link_depth = 0
             above = stack[-1]
-            first, hinted = _hint(attributes) if attributes else ("", False)
-            inner = above.name in CONTENT or any(x.name in CONTENT for x in stack)
+            first, hints = _hint(attributes) if attributes else ("", set())
+            inner = any(x.name in CONTENT for x in stack)
             gone = name in LEFT_OUT or (name == "header" and not inner) or (name == "article" and any(x.name == "article" for x in stack))
-            hinted = hinted and name not in ("html", "body", "article", "main") and name not in HEADINGS
+            if name in ("html", "body", "main") or name in HEADINGS:
+                hints = set()
+            elif inner or name == "article":
+                hints = hints - {"header"}
+            if (name in CONTENT and not hints) or name == "h1":
+                for x in stack:
+                    x.holds, x.titled = x.holds or name != "h1", True
             n += 1
             path = f"{above.path}/{name}.{first}" if first else f"{above.path}/{name}"
-            stack.append(_Element(name, path, gone, hinted, above, n))
+            stack.append(_Element(name, path, gone, hints, above, n))
     flush()
     return out
 
@@ -238,7 +256,7 @@ def select(some: list[_Block]) -> list[_Block]:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     every = [b for b in found if not b.element.out] or [b for b in found if not b.element.out_but_forms]
-    some = [b for b in every if not b.element.hinted] or every
+    some = [b for b in every if not b.element.hinted()] or every
     return " ".join(b.text for b in select(some)) if some else ""
 
 

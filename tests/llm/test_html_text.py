@@ -10,7 +10,7 @@ AROUND = (
 
 
 def test_articles_in_several_wrappers():
-    for wrap in ("<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>", "<div class='post'><div class=body>{}</div></div>", "<article>{}<div class='comments'><p>So long, thanks. Bye.</p></div></article>", "<table><tr><td>{}</td></tr></table>"):
+    for wrap in ("<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>", "<div class='post'><div class=body>{}</div></div>", "<article>{}<div class='comments'><p>So long, thanks. Bye.</p></div></article>", "<table><tr><td>{}</td></tr></table>", "<div class='layout no-sidebar'><article>{}</article></div>", "<div id=page class='with-sidebar'><div class=text>{}</div></div>", "<article><div class='article-header'></div>{}</article>"):
         assert main_text(AROUND.replace("{}", wrap.replace("{}", ARTICLE))) == WANT, wrap
 
 
@@ -19,6 +19,7 @@ def test_odd_pages():
     assert main_text("plain &lt;text&gt;, only.") == "plain <text>, only."
     assert main_text("<p>a, b<br>c.<!-- no --><p>d &#233;&nbsp;f") == "a, b c. d é f"
     assert main_text("<article><p>short.</p></article>") == "short."
+    assert main_text("<article><p>One, two. Three.</p></article><div class=comments><article class=comment><p>A reader, says. This.</p></article></div>") == "One, two. Three."
     assert main_text("<form><p>All of it, in a form. Yes.</p></form>") == "All of it, in a form. Yes."
     assert main_text("<p class='x\">unclosed, quote. here<p>more") != ""
     assert main_text("<article>" + "<p>word, word. word</p>" * 20000 + "</article>").count("word, word.") == 20000
