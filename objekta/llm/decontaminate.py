@@ -195,4 +195,18 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("items")
+
+
+OP9_SQL = r"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, rid, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+x AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+f AS (SELECT x.rid, x.s, x.n, i.item_id FROM x JOIN i ON x.n = i.n AND x.k = i.k),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM f) GROUP BY rid),
+o AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN o ON d.rid = o.rid
+"""

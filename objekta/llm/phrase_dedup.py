@@ -310,3 +310,14 @@ def remove_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op6_phrase_dedup(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT rid, doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+c AS (SELECT DISTINCT rid, unnest(range(s, s + 50)) AS p FROM h JOIN m ON h.h = m.h WHERE doc_id > least),
+k AS (SELECT e.rid, string_agg(x, ' ' ORDER BY e.p) AS kept, count(*) AS n FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) e LEFT JOIN c ON e.rid = c.rid AND e.p = c.p WHERE c.p IS NULL GROUP BY e.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""

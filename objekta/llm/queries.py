@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.OP1_SQL,
+    "op6_phrase_dedup": phrase_dedup.OP6_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
