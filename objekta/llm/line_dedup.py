@@ -9,8 +9,8 @@ that of the smallest doc_id, then the first in its text.
 2. MinHash signatures of BANDS x ROWS values; each band is a key of 8 bytes. At a similarity of 0.8 a pair shares a band
    with odds of 1 - (1 - 0.8^4)^14 = 0.9994. Only (band, ref) is shuffled; bands with two lines or more are kept.
 3. Each line is compared with the smallest ref of its bands (a star, salted where it has over STAR lines), by exact Jaccard
-   similarity, and a distributed union-find follows. Bands that still hold lines of two components are compared
-   completely, in blocks of BLOCK lines, so that no link within a band is missed. The union-find is repeated where that found any.
+   similarity, and a distributed union-find follows. Lines of a band that are then still in two components are
+   compared completely, in blocks of BLOCK lines, so that no link within a band is missed. The union-find is repeated where that found any.
 4. Only lines that repeat or are linked travel back, as a list of verdicts for each document.
 
 Defined cases: null and empty texts have no lines; a null doc_id counts as larger than any other; rows that repeat a doc_id
@@ -39,7 +39,8 @@ ROWS = 4
 BANDS = 14
 STAR = 1000
 BLOCK = 512
-STEP_CHARS = 1 << 20
+#: Characters that are hashed at a time, few enough to stay in a core's cache.
+STEP_CHARS = 1 << 15
 NO_ID = (1 << 63) - 1
 _OUTER = " \t\v\f\r\n"
 
@@ -117,10 +118,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     """ROWS * BANDS minima for each line."""
     h, first = shingles(lines)
     h = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), ROWS * BANDS), dtype=np.uint32)
+    out, room = np.empty((ROWS * BANDS, len(lines)), dtype=np.uint32), np.empty_like(h)
     for k in range(ROWS * BANDS):
-        out[:, k] = np.minimum.reduceat((h ^ _B[k]) * _A[k], first[:-1])
-    return out
+        np.bitwise_xor(h, _B[k], out=room)
+        np.multiply(room, _A[k], out=room)
+        np.minimum.reduceat(room, first[:-1], out=out[k])
+    return out.T
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +202,19 @@ def block_links(refs: list[int], components: list[int], lines: list[str]) -> lis
     """Links between lines of different components, enough to connect all that are near."""
     sets, near = [*_sets(lines)], []
     group = np.unique(np.array(components, dtype=np.int64), return_inverse=True)[1]
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
+    first = np.cumsum(sizes) - sizes
+    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), dtype=np.int32)
     for k in range(len(sets)):
         others = group != group[k]
         if not others.any():
             continue
         if len(sets) > 8:
-            both = np.bincount(owner[np.isin(values, sets[k])], minlength=len(sets))
+            own = code[first[k] : first[k] + sizes[k]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code], first)
+            mark[own] = 0
             similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes + sizes[k] - both)))
         else:
             similar = [j for j in np.flatnonzero(others).tolist() if _jaccard(sets[k], sets[j]) >= SIMILARITY]
@@ -257,8 +265,11 @@ def line_links(lines: DataFrame) -> DataFrame:
     links = cut(rows.mapInArrow(_verify_stars, "a long, b long"), "line-links")
     found = cut(connected_components(links), "line-components")
 
-    named = members.select("band", "ref").join(found, members.ref == found.node, "left").select("band", "ref", F.coalesce("component", "ref").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
+    # Centers have met all lines of their bands; the others of a band meet each other if they are still apart, once for each set of them.
+    named = members.where("ref != center").select("band", "ref").join(found, members.ref == found.node, "left").select("band", "ref", F.coalesce("component", "ref").alias("component"))
+    wide = lambda seed: F.sum(F.xxhash64("ref", F.lit(seed)).cast("decimal(20,0)"))
+    split = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), wide(1).alias("set1"), wide(2).alias("set2")).where("x < y")
+    split = split.groupBy("n", "set1", "set2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = named.join(split, "band").withColumn("block", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ref", "component").join(texts, "ref")
     rest = rest.select("band", "low", "high", "ref", "component", "line").repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high")
