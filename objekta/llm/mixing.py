@@ -30,6 +30,8 @@ from objekta.llm.common import cut, table, unused, words
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 RANK_BUCKETS = 4096
+#: Sources whose plan may be broadcast; beyond that Spark chooses the join, and splits skewed sources.
+BROADCAST_SOURCES = 100_000
 SEED = "objekta-mix-1"
 
 
@@ -69,6 +71,11 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES)
     return rows.select("source", "source_size", F.least(F.lit(most) * F.col("source_size").cast("double"), F.coalesce(final, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
+def small(plan: DataFrame) -> DataFrame:
+    """A plan of few sources goes to every task, so that documents of one source need not meet."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
 def source_plan(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """One row per source: source, source_size, target, copies (certain), last_bucket and last_rank (how far the sample goes)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -81,8 +88,8 @@ def source_plan(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COP
     cuts = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).where("s.until > p.rest").groupBy("s.source").agg(F.min(F.struct("s.bucket", (F.col("s.until") - F.col("s.words")).alias("before"))).alias("cut"))
     cuts = cuts.select("source", "cut.bucket", "cut.before")
     plan = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
-    plan = plan.select("p.*", F.coalesce("c.bucket", F.lit(RANK_BUCKETS)).alias("last_bucket"), F.coalesce("c.before", F.lit(0)).alias("before"))
-    d, p = sized.alias("d"), plan.alias("p")
+    plan = cut(plan.select("p.*", F.coalesce("c.bucket", F.lit(RANK_BUCKETS)).alias("last_bucket"), F.coalesce("c.before", F.lit(0)).alias("before")), "mix-cuts")
+    d, p = sized.alias("d"), small(plan).alias("p")
     edge = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.last_bucket")))
     edge = edge.groupBy("p.source", "p.rest", "p.before", "d.rank").agg(F.sum("d.size").alias("words"))
     order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,8 +112,8 @@ def sizes(documents: DataFrame, weight: Column | None = None, seed: str = SEED)
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
     sized = sizes(documents, weight, seed)
-    plan = source_plan(sized, weights, most)
-    out = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).withColumn("n", _capped(_copies(F.col("d.bucket"), F.col("d.rank")), most))
+    plan = cut(source_plan(sized, weights, most), "mix-plan")
+    out = sized.alias("d").join(small(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).withColumn("n", _capped(_copies(F.col("d.bucket"), F.col("d.rank")), most))
     return out.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", F.col("n").alias("copies"), (F.col("n") * F.col("d.size")).alias("taken"))
 
 
@@ -118,7 +125,7 @@ def apply_mix(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_C
     """The documents as often as the mix takes them, with all their columns."""
     plan = cut(source_plan(sizes(documents, None, seed), weights, most), "mix-plan")
     name = unused(documents, "mix_plan")
-    plan = plan.select(F.struct(*plan.columns).alias(name))
+    plan = small(plan.select(F.struct(*plan.columns).alias(name)))
     rank = rank_columns(documents, None, seed)["rank"]
     more = (_bucket(rank) < F.col(f"{name}.last_bucket")) | ((_bucket(rank) == F.col(f"{name}.last_bucket")) & (rank <= F.col(f"{name}.last_rank")))
     joined = documents.join(plan, documents["source"].cast("string").eqNullSafe(F.col(f"{name}.source")))
