@@ -39,6 +39,8 @@ ROWS = 4
 BANDS = 14
 STAR = 1000
 BLOCK = 512
+#: Bits of the bitmap that thins lines before a shuffle: 16 MB, however many lines there are.
+SLOTS = 1 << 27
 #: Characters that are hashed at a time, few enough to stay in a core's cache.
 STEP_CHARS = 1 << 15
 NO_ID = (1 << 63) - 1
@@ -129,13 +131,16 @@ def signatures(lines: list[str]) -> np.ndarray:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         refs, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for a, b in _steps(lines):
-            signature = signatures(lines[a:b]).astype(np.uint64)
-            for k in range(BANDS):
-                key = np.full(b - a, k + 1, dtype=np.uint64)
-                for j in range(ROWS):
-                    key = mix(key * _P + signature[:, k * ROWS + j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(refs[a:b])], ["band", "ref"])
+        if not lines:
+            continue
+        signature = np.concatenate([signatures(lines[a:b]) for a, b in _steps(lines)])
+        keys = []
+        for k in range(BANDS):
+            key = np.full(len(lines), k + 1, dtype=np.uint64)
+            for j in range(ROWS):
+                key = mix(key * _P + signature[:, k * ROWS + j].astype(np.uint64))
+            keys.append(key.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(refs, BANDS))], ["band", "ref"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +254,24 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _likely(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """The lines whose ref may be among refs, by a bitmap of hashed refs (bounded by SLOTS, so it is broadcast); none that is goes missing."""
+    slot = F.pmod(F.xxhash64("ref"), F.lit(SLOTS))
+    bits = refs.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return lines.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket")).where(is_set).select(*lines.columns)
+
+
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (ref, line) that are near others."""
     n = partitions(lines.sparkSession)
     bands = lines.select("ref", "line").mapInArrow(_bands, "band long, ref long")
     dealt = bands.repartition(n, "band").sortWithinPartitions("band", "ref")
     members = cut(dealt.mapInArrow(_members, "band long, center long, ref long"), "line-bands")
-    texts = cut(lines.select("ref", "line").join(members.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]), "line-texts")
+    refs = members.select("ref").distinct()
+    texts = cut(_likely(lines.select("ref", "line"), refs).join(refs, "ref", "left_semi").dropDuplicates(["ref"]), "line-texts")
 
     stars = members.where("ref != center").select("center", "ref").distinct()
     sizes = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))

@@ -110,3 +110,12 @@ def test_members_over_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[i : i + size]], pa.int64()), pa.array([r for _, r in rows[i : i + size]], pa.int64())], ["band", "ref"]) for i in range(0, len(rows), size)]
         got = [(r["band"], r["center"], r["ref"]) for x in ld._members(iter(batches)) for r in x.to_pylist()]
         assert sorted(got) == sorted((b, 0, r) for b, r in rows if b % 4 > 1)
+
+
+def test_bitmap_lets_all_wanted_lines_through(spark, monkeypatch):
+    lines = spark.range(-3000, 3000).selectExpr("id * 7919 as ref", "'x' as line")
+    wanted = spark.range(-200, 200).selectExpr("id * 7919 * 3 as ref")
+    for slots, most in ((1 << 27, 400), (1 << 10, 6000)):
+        monkeypatch.setattr(ld, "SLOTS", slots)
+        got = {r.ref for r in ld._likely(lines, wanted).collect()}
+        assert {r.ref for r in wanted.collect()} <= got and len(got) <= most
