@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objekta.llm.common import cut, partitions, table, unused
+from objekta.llm.common import cut, partitions, solid, table, unused
 from objekta.llm.components import connected_components
 from objekta.llm.wordhash import mix
 
@@ -261,7 +261,8 @@ def _likely(lines: DataFrame, refs: DataFrame) -> DataFrame:
     place = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (place % 8).cast("int")) == 1
-    return lines.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket")).where(is_set).select(*lines.columns)
+    # solid: else the semi join that follows is pushed below this one, and meets all lines after all.
+    return solid(lines.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket")).where(is_set), *lines.columns)
 
 
 def line_links(lines: DataFrame) -> DataFrame:
