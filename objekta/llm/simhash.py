@@ -14,7 +14,7 @@ Only distinct fingerprints are filed, so exact copies of a text meet once. A par
 join two of its sets (a spanning forest), so a group of near copies gives as many rows as it has fingerprints, not pairs.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; rows with a null doc_id are linked but
-never name a component (null if it has no other); rows that repeat a doc_id share its component; an empty table gives no
+never name a component (null if it has no other); rows that repeat a doc_id are judged by their own texts; an empty table gives no
 rows; extra columns are ignored (components) or kept (deduplicate).
 """
 
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 n = min(SHINGLE, b - a)
                 h = [digest(text[s:e], SEED) for s, e in zip(begins[: b - a - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
                 out[row] = _fingerprint(np.array(h, dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out.view(np.int64))], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -76,6 +76,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _digest(documents: DataFrame):
+    """Tells apart the rows of one doc_id."""
+    return F.xxhash64(documents["text"].cast("string"))
+
+
 def _chain(i: int, length: int) -> np.uint64:
     return np.uint64(sum(_MASKS[(i + j) % 5] for j in range(length)))
 
@@ -186,23 +191,57 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
+def _linked(prints: DataFrame) -> DataFrame:
+    """fp, least (its smallest doc_id) and component (a fingerprint) for every distinct fp."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    found = connected_components(links(classes))
+    return classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable)."""
     prints = cut(fingerprints(documents), "simhash")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    found = connected_components(links(classes))
-    linked = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    linked = _linked(prints)
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut(linked.join(named, "component").select("fp", "component_id"), "simhash-components")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents that give their component its id, with all their columns (rows with a null doc_id stay only where no other names it)."""
-    own = components(documents)
-    copies = cut(own.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "simhash-copies")
-    name = unused(documents, "copy_of_another")
-    return documents.join(copies.withColumnRenamed("doc_id", name), documents["doc_id"].cast("long") == F.col(name), "left_anti")
+def _judged(documents: DataFrame) -> DataFrame:
+    """doc_id, digest, n (rows with both) and stays: these are the ones their component keeps, of the smallest id (nulls last) and digest."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _digest(documents).alias("digest"))
+    prints = cut(rows.mapInArrow(_fingerprints, "doc_id long, digest long, fp long"), "simhash")
+    linked = _linked(prints).select("fp", "component")
+    keys = cut(prints.groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-keys")
+    least = keys.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "digest")).alias("first"))
+    linked = cut(linked.join(least, "fp"), "simhash-least")
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    ids = cut(linked.join(best, "component").select("fp", "best"), "simhash-best")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    return cut(keys.join(ids, "fp").select("doc_id", "digest", "n", stays.alias("stays")), "simhash-judged")
+
+
+def deduplicate(documents: DataFrame, nameless: bool = True) -> DataFrame:
+    """One row of each component, with all its columns: of its smallest doc_id, and any one of rows equal in doc_id and text.
+
+    Rows with a null doc_id all stay; with nameless=False one of them stays, and only where no other row is in its component.
+    """
+    judged = _judged(documents)
+    named = judged.where("doc_id is not null")
+    ids = cut(named.groupBy("doc_id").agg((F.sum("n") > 1).alias("shared"), F.max("stays").alias("stays")), "simhash-ids")
+    again = named.where("stays").join(ids.where("shared"), "doc_id", "left_semi")
+    if not nameless:
+        again = again.unionByName(judged.where("doc_id is null and stays"))
+    name, digest = unused(documents, "copy_of_another"), unused(documents, "digest_of_text")
+    own = documents["doc_id"].cast("long")
+    # Ids of one row are told by the id alone, which keeps the joined table small; rows of shared ids and of none by their text, too.
+    gone = cut(ids.where("shared or not stays").select(F.col("doc_id").alias(name)), "simhash-copies")
+    once = documents.where(own.isNotNull()).join(gone, own == F.col(name), "left_anti")
+    keys = cut(again.select(F.col("doc_id").alias(name), F.col("digest").alias(digest)), "simhash-again")
+    more = documents.join(keys, own.eqNullSafe(F.col(name)) & (_digest(documents) == F.col(digest)), "left_semi")
+    more = more.withColumns({name: own, digest: _digest(documents)}).dropDuplicates([name, digest]).drop(name, digest)
+    out = once.unionByName(more)
+    return out.unionByName(documents.where(own.isNull())) if nameless else out
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

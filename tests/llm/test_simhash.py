@@ -62,6 +62,21 @@ def test_documents_against_brute_force(spark):
     assert simhash.components(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (2, a), (None, a), (None, a), (3, b), (3, b), (4, b), (5, a), (5, c), (None, d), (None, d), (6, e), (6, e.replace(" ", "\n")), (7, f), (7, a), (8, None), (8, ""), (None, None)]
+    frame = spark.createDataFrame([(x, t, k) for k, (x, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(4)
+    kept = simhash.deduplicate(frame, nameless=False)
+    assert kept.schema == frame.schema
+    place = lambda r: (r.doc_id, " ".join((r.text or "").split()))
+    got = sorted(map(place, kept.collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (5, c), (None, d), (6, e), (7, f), (8, "")], key=str)
+    got = sorted(map(place, simhash.deduplicate(frame).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (5, c), (6, e), (7, f), (8, "")] + [(x, t or "") for x, t in rows if x is None], key=str)
+    assert simhash.deduplicate(frame.limit(0), nameless=False).count() == 0
+
+
 def test_links_of_dense_and_sparse_fingerprints(spark):
     rng = random.Random(5)
     values = {rng.getrandbits(64) for _ in range(300)}
