@@ -4,9 +4,10 @@ A page is read as blocks: runs of text between block-level tags, each with its r
 (an element's first class belongs to its name). Per path, text length and punctuation are summed and divided by the number
 of blocks with that path; link text counts for nothing. Both series are smoothed over the page's blocks with a short
 Gaussian, fused by multiplication and compared with a share of their mean, weighted by length. The paths that pass mark the
-content nodes; the element that holds them (an article, a main or the deepest other container with nearly all of their
-score) is the article, and gives all its blocks in page order. Where that element is not an article or main, blocks
-before the first and after the last content node go, but for a heading right before the first.
+content nodes. An article or main around the deepest container with nearly all of their score is the article; without one
+it is the deepest container that holds all of them. It gives all its blocks in page order; where it is not an article or
+main, blocks that are mostly links or say what they are (HINTS) go before its first content node (and the headings right
+before that) and after its last one, up to the first block that is neither.
 
 Elements whose tag, class, id or role says menu, header, footer, sidebar, notice, advert, form, script, style or comment are left
 out first (HINTS; not where the element holds the article itself, as a layout without a sidebar does); if nothing else is left, only tags count, and then a form around the whole page is let in.
@@ -30,7 +31,7 @@ from objekta.llm.common import table
 
 #: Share of the mean fused score that a content path has at least.
 THRESHOLD = 0.3
-#: Share of the content score that a container holds at least.
+#: Share of the content score that an article or main holds at least.
 HELD = 0.9
 KERNEL = (0.25, 0.5, 0.25)
 
@@ -225,19 +226,20 @@ def select(some: list[_Block]) -> list[_Block]:
     content = [i for i, b in enumerate(some) if b.score >= bar and b.linked * 2 < len(b.text)]
     if not content:
         return []
-    total, chain = 0.0, {}
+    total, chain, nodes = 0.0, {}, {}
     for i in content:
         b, e = some[i], some[i].element
         total += b.score * len(b.text)
         while e is not None:
             e.score += b.score * len(b.text)
             chain[e.order] = e
+            nodes[e.order] = nodes.get(e.order, 0) + 1
             e = e.parent
-    container = max((e for e in chain.values() if e.score >= HELD * total and (e.name in CONTAINERS or e.parent is None)), key=lambda e: e.order)
-    semantic = container
+    containers = [e for e in chain.values() if e.name in CONTAINERS or e.parent is None]
+    semantic = max((e for e in containers if e.score >= HELD * total), key=lambda e: e.order)
     while semantic is not None and semantic.name not in CONTENT:
         semantic = semantic.parent
-    container = semantic or container
+    container = semantic or max((e for e in containers if nodes[e.order] == len(content)), key=lambda e: e.order)
 
     def inside(e: _Element | None) -> bool:
         while e is not None and e is not container:
@@ -246,10 +248,15 @@ def select(some: list[_Block]) -> list[_Block]:
 
     held = [inside(b.element) for b in some]
     if semantic is None:
-        first, last = content[0], content[-1]
+        first, start, stop = content[0], held.index(True), len(held) - held[::-1].index(True)
         while first and held[first - 1] and some[first - 1].element.name in HEADINGS:
             first -= 1
-        held = [h and first <= i <= last for i, h in enumerate(held)]
+        outer = [b.linked * 2 >= len(b.text) or b.element.hinted() for b in some]
+        while start < first and outer[start]:
+            start += 1
+        while stop - 1 > content[-1] and outer[stop - 1]:
+            stop -= 1
+        held = [h and start <= i < stop for i, h in enumerate(held)]
     return [b for b, h in zip(some, held, strict=True) if h]
 
 

@@ -26,6 +26,17 @@ def test_odd_pages():
     assert main_text("<div>" * 3000 + "<p>deep, text. here</p>") == "deep, text. here"
 
 
+def test_pages_without_article_or_main_keep_all_parts():
+    part = "<p>The first part, with words, and more. It goes on, and on, for long.</p>" * 12
+    last = "<p>The last part, shorter. But whole.</p>"
+    page = f"<body><div id=content><div class=part>{part}</div><div class=other>{last}</div></div></body>"
+    assert main_text(page).endswith("for long. The last part, shorter. But whole.")
+    page = f"<body><div id=content><h2>Title</h2><p class=lead>Lead</p>{part}<ul><li>one</li><li>two</li></ul><pre>x = 1</pre></div></body>"
+    assert main_text(page).startswith("Title Lead The first part,") and main_text(page).endswith("for long. one two x = 1")
+    page = f"<body><div id=content><p><a href=1>Home</a></p><h2><a href=2>Title</a></h2>{part}<p class=end>Fin</p><p><a href=3>Next page</a></p></div></body>"
+    assert main_text(page).startswith("Title The first part,") and main_text(page).endswith("for long. Fin")
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>One, two. Three é</p></article>", "x"), (1, "u", "<article><p>One, two. Three é</p></article>", "y"), (None, None, None, None), (2, "v", "", "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
