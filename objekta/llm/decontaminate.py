@@ -4,7 +4,8 @@ A window is WINDOW consecutive words of a benchmark item; an item of fewer words
 are [0-9a-z and all non-ASCII]+ after A-Z became a-z. A document word inside any occurrence of a window is hit.
 
 The windows go to the executors as one hash set. Its size is checked first: a benchmark with more than BLOCK_BYTES of
-text is split by item into blocks that each stay below it, and the documents are scanned once per block; no window is left out.
+text is split by item into blocks that each stay below it, and the documents are scanned once per block; no window is left out. Every block
+meets the text as it came in: spans are removed together, after the last one.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no window; repeated rows
 and repeated items are each judged alike; null item ids name no item but their windows count as hits; an empty
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from objekta.llm import wordhash as wh
-from objekta.llm.common import table
+from objekta.llm.common import table, unused
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold; its hash set takes about 20 times that.
@@ -145,31 +147,54 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     return out
 
 
-def _cleaner(known: WindowSet, at: int, spans: bool):
-    """Drops contaminated rows, or the hit words (with what stands between them) from their text."""
+def _cleaner(known: WindowSet, at: int):
+    """Drops contaminated rows."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, texts = np.ones(batch.num_rows, dtype=bool), {}
+            keep = np.ones(batch.num_rows, dtype=bool)
             for step in wh.word_steps(batch.column(at), wh.ALPHANUMERIC, lower=True):
-                for k, (starts, lengths, _) in _found(known, step).items():
-                    row = step.rows[k]
-                    keep[row] = False
-                    if spans:
-                        a, size = int(step.first[k]), int(step.first[k + 1] - step.first[k])
-                        raw, base = batch.column(at)[row].as_py().encode(), int(step.bounds[k])
-                        pieces, last = [], 0
-                        for span in _spans(np.array(starts), np.array(lengths), size):
-                            pieces.append(raw[last : int(step.starts[a + span["start"]]) - base])
-                            last = int(step.ends[a + span["end"] - 1]) - base
-                        texts[row] = b"".join([*pieces, raw[last:]]).decode()
-            if not spans:
-                yield batch.filter(pa.array(keep))
-            elif texts:
-                column = pa.array([texts.get(i, v) if i in texts else v for i, v in enumerate(batch.column(at).to_pylist())], batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
-            else:
-                yield batch
+                keep[[step.rows[k] for k in _found(known, step)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
+def _cutter(known: WindowSet, at: int, hits_name: str, later: bool, more: bool):
+    """Drops the hit words (with what stands between them) from their text.
+
+    later: the last column brings what earlier blocks found; more: another block follows, so the hits are passed on and the text is left as it is.
+    """
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.columns[-1].to_pylist() if later else None
+            columns, names = (batch.columns[:-1], batch.schema.names[:-1]) if later else (batch.columns, batch.schema.names)
+            hits, texts = [[] for _ in range(batch.num_rows)], {}
+            for step in wh.word_steps(batch.column(at), wh.ALPHANUMERIC, lower=True):
+                found = _found(known, step)
+                for k in range(len(step.first) - 1) if later else found:
+                    row, a, size = step.rows[k], int(step.first[k]), int(step.first[k + 1] - step.first[k])
+                    starts, lengths, _ = found.get(k, ([], [], set()))
+                    old = before[row] if later else []
+                    starts = starts + [x["start"] for x in old]
+                    if not starts:
+                        continue
+                    hits[row] = _spans(np.array(starts), np.array(lengths + [x["end"] - x["start"] for x in old]), size)
+                    if more:
+                        continue
+                    raw, base = batch.column(at)[row].as_py().encode(), int(step.bounds[k])
+                    pieces, last = [], 0
+                    for span in hits[row]:
+                        pieces.append(raw[last : int(step.starts[a + span["start"]]) - base])
+                        last = int(step.ends[a + span["end"] - 1]) - base
+                    texts[row] = b"".join([*pieces, raw[last:]]).decode()
+            if texts:
+                changed = pa.array([texts.get(i, v) for i, v in enumerate(batch.column(at).to_pylist())], batch.schema.field(at).type)
+                columns = [changed if i == at else c for i, c in enumerate(columns)]
+            if more:
+                columns, names = [*columns, pa.array(hits, _HITS)], [*names, hits_name]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return clean
 
@@ -178,10 +203,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
     """The documents with all their columns, without those that hold a window (remove="documents") or without the hit words (remove="spans")."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")
-    at = documents.columns.index("text")
+    at, schema = documents.columns.index("text"), documents.schema
+    hits = StructField(unused(documents, "hits"), ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
     parts = _parts(benchmark)
     for k in range(parts):
-        documents = documents.mapInArrow(_cleaner(WindowSet(_block(benchmark, k, parts), window), at, remove == "spans"), documents.schema)
+        known, more = WindowSet(_block(benchmark, k, parts), window), k < parts - 1
+        if remove == "documents":
+            documents = documents.mapInArrow(_cleaner(known, at), schema)
+        else:
+            documents = documents.mapInArrow(_cutter(known, at, hits.name, k > 0, more), StructType([*schema, hits]) if more else schema)
     return documents
 
 

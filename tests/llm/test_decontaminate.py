@@ -85,3 +85,21 @@ def test_removal(spark):
     before = {r[0]: r for r in brute(docs, items)}
     for r in cleaned:
         assert len(words(r.text)) == before[r.doc_id][1] - before[r.doc_id][2]
+
+
+def test_spans_of_several_blocks_are_those_of_the_input_text(spark, monkeypatch):
+    docs, items = cases()
+    chain = [f"q{i}" for i in range(40)]
+    items += [(60 + i, " ".join(chain[i : i + 14])) for i in range(0, 26, 5)] + [(70, " ".join([*chain[:5], *"stuvwxyz"]))]
+    docs += [(300, " ".join(["s", *chain, "t"])), (301, " ".join([*chain[:5], *chain[5:19], *"stuvwxyz"]))]
+    d, b = frames(spark, docs, items)
+    one = sorted((str(r.doc_id), r.text or "") for r in dc.decontaminate(d, b, "spans").collect())
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 300)
+    assert dc._parts(b) > 2
+    cleaned = dc.decontaminate(d.withColumnRenamed("items", "hits"), b, "spans")
+    assert cleaned.schema == d.withColumnRenamed("items", "hits").schema
+    cleaned = cleaned.collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in cleaned) == one
+    before = {r[0]: r for r in brute(docs, items)}
+    for r in cleaned:
+        assert len(words(r.text)) == before[r.doc_id][1] - before[r.doc_id][2] and r.hits == 7
