@@ -37,7 +37,10 @@ KERNEL = (0.25, 0.5, 0.25)
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select canvas audio video object".split())
+#: Their content is text up to the end tag, or to the page's end.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: They are skipped up to their own end tag; where it is missing, only the tag is.
+SKIPPED = frozenset("noscript template svg math select canvas audio video object".split())
 BLOCK = frozenset(
     "html body head article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " blockquote pre figure figcaption address nav header footer aside form fieldset details summary dialog menu center hgroup".split()
@@ -112,11 +115,23 @@ class _Block:
         self.element, self.text, self.linked, self.score = element, text, linked, 0.0
 
 
+def _ends(html: str, at: int, name: str) -> dict[int, int]:
+    """For opening tags from a place on that have an end tag of their own: where they start, and where that ends."""
+    found, open_tags = {}, []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?=[\s/>])(?:({_QUOTED})|([^>]*))>", html[at:], re.S | re.I):
+        if m[1]:
+            if open_tags:
+                found[open_tags.pop()] = at + m.end()
+        elif m[1] is not None and not (m[2] or m[3] or "").endswith("/"):
+            open_tags.append(at + m.start())
+    return found
+
+
 def blocks(html: str) -> list[_Block]:
     """The page's blocks in order, boilerplate included."""
     root = _Element("#", "", False, set(), None, 0)
     stack, out, text = [root], [], []
-    n, link_depth, linked, at, size = 0, 0, 0, 0, len(html)
+    n, link_depth, linked, at, size, ends = 0, 0, 0, 0, len(html), {}
 
     def flush():
         nonlocal linked
@@ -160,6 +175,11 @@ def blocks(html: str) -> list[_Block]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else size
             continue
+        if name in SKIPPED and not attributes.endswith("/"):
+            if name not in ends:
+                ends[name] = _ends(html, m.start(), name)
+            at = ends[name].get(m.start(), at)
+            continue
         if name == "br" or name == "hr":
             text.append(" ")
         if name == "a":

@@ -37,6 +37,16 @@ def test_pages_without_article_or_main_keep_all_parts():
     assert main_text(page).startswith("Title The first part,") and main_text(page).endswith("for long. Fin")
 
 
+def test_unclosed_elements_that_are_skipped():
+    for name in ("svg", "math", "select", "canvas", "audio", "video", "object", "noscript", "template"):
+        for whole in ("", f"<{name} class='a>b'>gone<{name}>too</{name}></{name.upper()} >", f"<!-- </{name}> -->"):
+            for before in ("", f"<{name}>no, no. No</{name}>"):
+                page = f"<body>{before}<{name} x=1><article>{ARTICLE}{whole}<p>And, after it. All.</p></article></body>"
+                assert main_text(page) == WANT + " And, after it. All.", page
+    assert main_text(f"<article>{ARTICLE}<svg/><p>End, of it.</p></article><script>x = 1; <p>no, no. No</p>") == WANT + " End, of it."
+    assert main_text(f"<article>{'<svg>' * 20000}{ARTICLE}</article>") == WANT
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>One, two. Three é</p></article>", "x"), (1, "u", "<article><p>One, two. Three é</p></article>", "y"), (None, None, None, None), (2, "v", "", "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
