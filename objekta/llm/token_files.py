@@ -8,7 +8,7 @@ ids, and a filter on doc_id reads the row groups and pages that may hold it. fil
 before it and its number of ids.
 
 Ids are those of the tokenizers library for the whole text. Encoding is by chunk between ASCII white space, of which the
-pre-tokenizers of this family never keep anything, and each worker remembers the ids of recent chunks in a bounded
+pre-tokenizers of this family never keep anything, and each worker remembers the ids of recent pieces of chunks in a bounded
 store: the library encodes what the store does not have. Checked against whole-text encoding in the tests.
 
 Defined cases: null and empty texts give the end id alone; null ids come first; rows alike in doc_id are ordered by their
@@ -21,9 +21,11 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,9 +38,12 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Chunks and pieces that a worker remembers at most, in each of two generations.
-REMEMBERED = 250_000
-STEP_BYTES = 1 << 20
+#: Pieces that a worker remembers; when there are more it starts anew.
+REMEMBERED = 400_000
+#: Bytes of text that are encoded together (one longer text is a step of its own).
+STEP_BYTES = 4 << 20
+#: Marks that the pre-tokenizer parts from letters before them, whatever follows (not ' < > |, which may begin something longer).
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 TOKENS_SCHEMA = "doc_id long, file_start long, n_tokens long, token_ids array<int>"
 _WRITE = {
@@ -51,23 +56,12 @@ _WRITE = {
     "compression": "zstd",
 }
 
-
-class _Store:
-    """Two generations of a dictionary: what has not been asked for since the last full one is forgotten."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value):
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in MARKS]] = True
+#: Bytes that a piece of letters may have.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_ONLY_MARKS = re.compile("[" + re.escape(MARKS) + "]+")
 
 
 def _letters(text: str) -> bool:
@@ -75,99 +69,143 @@ def _letters(text: str) -> bool:
     return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
 
+def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words without the marks behind their letters, and these marks (up to 7 ASCII bytes, lowest first); other words stay whole."""
+    data, offsets = text_bytes(words)
+    ends = offsets[1:].copy()
+    size = np.diff(offsets)
+    tail, count, active = np.zeros(len(words), dtype=np.uint64), np.zeros(len(words), dtype=np.int64), np.flatnonzero(size > 1)
+    for k in range(8):
+        last = data[ends[active] - 1 - k]
+        active, last = active[_MARK[last]], last[_MARK[last]]
+        tail[active] = (tail[active] << np.uint64(8)) | last
+        count[active] += 1
+        active = active[size[active] > k + 1]
+        if not len(active):
+            break
+    split = (count > 0) & (count < 8) & (count < size)
+    other = np.r_[0, np.cumsum(_KIND[data] == 0)]
+    split &= other[ends - count] == other[offsets[:-1]]
+    bare = pc.utf8_rtrim(words, characters=MARKS)
+    far = np.r_[0, np.cumsum(data > 127)]
+    wide = np.flatnonzero(split & (far[ends] > far[offsets[:-1]]))
+    if len(wide):
+        split[wide] = [_letters(x) for x in bare.take(pa.array(wide)).to_pylist()]
+    return pc.if_else(pa.array(split), bare, words), np.where(split, tail, np.uint64(0))
+
+
 class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts. Each step's chunks are made distinct in Arrow, so that Python only meets those that are new to this worker.
 
-    LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-;=?@\[-`{}~]+)")
+    A chunk of letters with marks after them has the ids of the letters, then those of the marks; any other is one piece.
+    """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = REMEMBERED):
         self.library = tokenizer_files.load(path)
         self.ends = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
         for word, i in self.library.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
-        self.chunks, self.pieces = _Store(remembered), _Store(remembered)
+        self.end_id, self.remembered = end_id, remembered
+        self.forget()
+
+    def forget(self) -> None:
+        """Piece 0 is the empty one, piece 1 the end of a text."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids = np.array([self.end_id], dtype=np.int32)
+        self.offsets = np.array([0, 0, 1], dtype=np.int32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text, one after the other, and how many each has."""
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def encode_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Pieces of letters alone, or of marks alone, give one word each: several are encoded at once and cut after word ends."""
         out = []
-        for a in range(0, len(pieces), 256):
-            part = pieces[a : a + 256]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
-            else:
-                out += self.encode(part)
+        parts = [words[a : a + 256] for a in range(0, len(words), 256)]
+        for a in range(0, len(parts), 32):
+            some = parts[a : a + 32]
+            for part, found in zip(some, self.library.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype=np.int32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part) and cuts[-1] == len(ids):
+                    out.append((ids, np.diff(cuts, prepend=0)))
+                else:
+                    out.append(self.encode(part))
         return out
 
-    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks. A chunk of letters with marks after them has the ids of the letters, then those of the marks."""
-        parts, whole, wanted = {}, [], {}
-        for chunk in missing:
-            text = chunk.decode()
-            if _letters(text):
-                parts[chunk] = (text,)
-            elif (m := self.LETTERS_AND_MARKS.fullmatch(text)) and _letters(m[1]):
-                parts[chunk] = (m[1], m[2])
-            else:
-                whole.append(chunk)
-                continue
-            for piece in parts[chunk]:
-                if piece not in wanted:
-                    wanted[piece] = self.pieces.get(piece)
-        new = [p for p, ids in wanted.items() if ids is None]
-        for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-            wanted[piece] = ids
-            self.pieces.put(piece, ids)
-        out = {chunk: b"".join(wanted[p] for p in some) for chunk, some in parts.items()}
-        out.update(zip(whole, self.encode([c.decode() for c in whole]), strict=True))
-        return out
+    def learn(self, new: list[str]) -> None:
+        kinds = [_letters(x) or _ONLY_MARKS.fullmatch(x) is not None for x in new]
+        words, whole = [x for x, k in zip(new, kinds, strict=True) if k], [x for x, k in zip(new, kinds, strict=True) if not k]
+        found = self.encode_words(words) + ([self.encode(whole)] if whole else [])
+        first = len(self.offsets) - 1
+        for k, x in enumerate(words + whole, start=first):
+            self.known[x] = k
+        counts = np.concatenate([n for _, n in found])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts).astype(np.int32)])
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Where the pieces stand in the store, which learns the missing ones first."""
+        known = self.known
+        if new := [x for x in pieces if x not in known]:
+            self.learn(new)
+        return np.array([known[x] for x in pieces], dtype=np.int32)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        ids, missing = {}, []
-        for chunk in set().union(*split):
-            found = self.chunks.get(chunk)
-            if found is None:
-                missing.append(chunk)
-            else:
-                ids[chunk] = found
-        if missing:
-            for chunk, found in self.learn(missing).items():
-                ids[chunk] = found
-                self.chunks.put(chunk, found)
-        return [b"".join([ids[c] for c in chunks]) for chunks in split]
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _steps(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    data, offsets = text_bytes(column)
-    raw, at, n = data.tobytes(), 0, len(offsets) - 1
+        """Ids of each text as little-endian 32-bit bytes, without the end."""
+        counts, ids = self.column(pa.array(texts, pa.binary()).cast(pa.string()))
+        flat, ends = ids.to_numpy(), np.cumsum(counts)
+        return [flat[a : b - 1].astype("<i4").tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """How many ids each text has, the end included, and all ids one after the other."""
+        if len(self.known) > self.remembered:
+            self.forget()
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        code = coded.indices.to_numpy()
+        heads, tails = _parts(coded.dictionary)
+        heads = heads.dictionary_encode()
+        head = self.numbers(heads.dictionary.to_pylist())[heads.indices.to_numpy()]
+        marks, which = np.unique(tails, return_inverse=True)
+        tail = self.numbers([int(m).to_bytes(8, "little").rstrip(b"\0").decode() for m in marks])[which]
+        pairs = np.empty(2 * len(code) + len(texts), dtype=np.int32)
+        place = np.arange(len(code), dtype=np.int64) * 2 + np.repeat(np.arange(len(texts)), np.diff(bounds))
+        pairs[place] = head[code]
+        pairs[place + 1] = tail[code]
+        ends = bounds[1:].astype(np.int64) * 2 + np.arange(len(texts))
+        pairs[ends] = 1
+        until = np.cumsum(np.diff(self.offsets)[pairs], dtype=np.int64)[ends]
+        ids = pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.ids)).take(pa.array(pairs)).flatten()
+        return np.diff(until, prepend=0), ids
+
+
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def _steps(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    _, offsets = text_bytes(column)
+    at, n = 0, len(offsets) - 1
     while at < n:
         stop = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1))
-        yield at, [raw[a:b] for a, b in zip(offsets[at:stop].tolist(), offsets[at + 1 : stop + 1].tolist(), strict=True)]
+        yield at, pc.fill_null(column.slice(at, stop - at), "")
         at = stop
 
 
 def _encoder(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = ChunkEncoder(path)
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = ChunkEncoder(path, end_id)
         before = 0
         for batch in batches:
             for at, texts in _steps(batch.column(1)) if batch.num_rows else ():
-                each = [x + end for x in _encoders[path](texts)]
-                counts = np.array([len(x) // 4 for x in each], dtype=np.int64)
+                counts, ids = _encoders[path, end_id].column(texts)
                 offsets = np.r_[0, np.cumsum(counts)]
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(before + offsets[:-1]), pa.array(counts), ids], ["doc_id", "file_start", "n_tokens", "token_ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(before + offsets[:-1]), pa.array(counts), lists], ["doc_id", "file_start", "n_tokens", "token_ids"])
                 before += int(offsets[-1])
 
     return encode
