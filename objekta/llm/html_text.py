@@ -3,16 +3,21 @@
 A page is read as blocks: runs of text between block-level tags, each with its root-to-leaf path of block-level elements
 (an element's first class belongs to its name). Per path, text length and punctuation are summed and divided by the number
 of blocks with that path; link text counts for nothing. Both series are smoothed over the page's blocks with a short
-Gaussian, fused by multiplication and compared with a share of their mean, weighted by length. The paths that pass mark the
-content nodes. An article or main around the deepest container with nearly all of their score is the article; without one
-it is the deepest container that holds all of them. It gives all its blocks in page order; where it is not an article or
-main, blocks that are mostly links or say what they are (HINTS) go before its first content node (and the headings right
-before that) and after its last one, up to the first block that is neither.
+Gaussian, fused by multiplication and compared with THRESHOLD of their mean, weighted by length. All blocks of the page take part.
 
-Elements whose tag, class, id or role says menu, header, footer, sidebar, notice, advert, form, script, style or comment are left
-out first (HINTS; not where the element holds the article itself, as a layout without a sidebar does); if nothing else is left, only tags count, and then a form around the whole page is let in.
+A path's score also has a factor for what its elements say of themselves: RAISED in an article or main; HINTED where a tag, class, id
+or role says menu, footer, advert and the like (HINTED_TAGS, HINTS), WEAKLY for words that sections of an article have too (WEAK_HINTS). These
+are factors of a score and not verdicts. Hints of an element that holds most of the page's score are void (a layout class such as no-sidebar, a form
+around the page); a menu or footer that does is all there is, and no article. Reader comments are prose like the article, which no ratio can tell;
+COMMENTS leaves them out (not an element with nearly all of the score).
 
-Pages are independent: a map over Arrow batches without a shuffle. One page is held at a time.
+The paths that pass mark the content nodes, and content nodes stay wherever they are. Of the other blocks those stay that
+stand in the container of nearly all (HELD) of the content's score: the deepest such element, or the article or main around it. So a title,
+a short list or a caption is not lost for its length. There, hinted blocks go; outside an article or main, links too, but
+only before the first content node (not its headings) and after the last one, up to the first block that is neither.
+
+Pages are independent: a map over Arrow batches without a shuffle. One page is held at a time, and time and memory grow with its length,
+whatever is nested or left open.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are repaired as browsers do for the
 common cases; repeated rows and null ids each get a row; an empty table gives no rows; extra columns are ignored.
@@ -31,16 +36,21 @@ from objekta.llm.common import table
 
 #: Share of the mean fused score that a content path has at least.
 THRESHOLD = 0.3
-#: Share of the content score that an article or main holds at least.
-HELD = 0.9
-KERNEL = (0.25, 0.5, 0.25)
+#: Share of the content score that the container holds at least, and of all scores that a layout element does.
+HELD = 0.95
+LAYOUT = 0.5
+#: What hints leave of a path's score, and how an article or main raises it. Factors and no verdicts: text that scores high enough stays all the same.
+HINTED = 0.15
+WEAKLY = 0.6
+RAISED = 4.0
+KERNEL = (0.1, 0.8, 0.1)
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to the end tag, or to the page's end.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: They are skipped up to their own end tag; where it is missing, only the tag is.
-SKIPPED = frozenset("noscript template svg math select canvas audio video object".split())
+SKIPPED = frozenset("noscript template svg select canvas audio video object".split())
 BLOCK = frozenset(
     "html body head article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " blockquote pre figure figcaption address nav header footer aside form fieldset details summary dialog menu center hgroup".split()
@@ -56,21 +66,18 @@ SAME = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
-LEFT_OUT = frozenset("head nav footer aside form menu dialog button label".split())
 CONTENT = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
-#: Words of class, id and role that mark what stands around an article even if it has a heading of the first order.
-EDGES = frozenset("header masthead topbar banner nav navbar navigation menu footer foot bottombar".split())
-#: Words that a layout around the whole article may have too, as in no-sidebar.
-LAYOUT = EDGES.union("sidebar side rail aside ad ads search tags".split())
-#: Words that mark what is no article. Compared with whole words of the attribute.
+HINTED_TAGS = frozenset("nav footer aside form menu dialog button label".split())
+#: Words of class, id and role, compared with whole words of the attribute.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs"
-    " sidebar side rail aside widget widgets comment comments commentlist replies reply discussion disqus responses"
-    " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login form search share sharing social"
-    " related recommended recommendations pagination pager tags copyright legal disclaimer skip contentinfo complementary".split()
-).union(EDGES)
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs nav navbar navigation menu"
+    " header masthead topbar banner footer bottombar sidebar aside widget widgets cookie cookies consent gdpr popup modal overlay"
+    " newsletter subscribe signup login share sharing social pagination pager contentinfo complementary".split()
+)
+WEAK_HINTS = frozenset("side rail foot notice notices alert promotion form search skip related recommended recommendations tags copyright legal disclaimer".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
 
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -80,32 +87,39 @@ _PUNCTUATION = re.compile(r"""[.,;:!?…。，、！？；：]""")
 
 
 def _hint(attributes: str) -> tuple[str, set[str]]:
-    """First class, and the words of HINTS in class, id and role."""
-    first, hinted = "", set()
+    """First class, and the words of class, id and role."""
+    first, words = "", set()
     for kind, value in _NAMES.findall(attributes):
         value = value.strip("\"'").lower()
         if kind.lower() == "class" and not first:
             first = value.split(" ")[0]
-        hinted.update(w for w in _WORD.findall(value) if w in HINTS)
-    return first, hinted
+        words.update(_WORD.findall(value))
+    return first, words
+
+
+_GROUPS = tuple(dict.fromkeys(SAME.values()))
+_GROUP_OF = {name: _GROUPS.index(v) for name, v in SAME.items()}
 
 
 class _Element:
-    __slots__ = ("name", "path", "out", "out_but_forms", "hints", "holds", "titled", "parent", "order", "score")
+    __slots__ = ("name", "path", "parent", "depth", "inner", "factor", "comments", "p_at", "same_at", "score", "content", "inside")
 
-    def __init__(self, name: str, path: str, gone: bool, hints: set[str], parent: _Element | None, order: int):
-        self.name, self.path, self.hints, self.parent, self.order, self.score = name, path, hints, parent, order, 0.0
-        self.holds = self.titled = False
-        self.out = gone or (parent is not None and parent.out)
-        self.out_but_forms = (gone and name != "form") or (parent is not None and parent.out_but_forms)
+    def __init__(self, name: str, path: int, parent: _Element | None):
+        self.name, self.path, self.parent, self.score, self.content, self.inside = name, path, parent, 0.0, 0.0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.inner = name in CONTENT or (parent is not None and parent.inner)
+        self.factor, self.comments = 1.0, False
+        #: Depth of the open p that a block would close, and of the elements of each group of SAME.
+        self.p_at = self.depth if name == "p" else parent.p_at if parent and name in HEADINGS else -1
+        if parent is None:
+            self.same_at = (-1,) * len(_GROUPS)
+        elif name in _NAMED:
+            self.same_at = tuple(self.depth if name in these else -1 if name in limits else parent.same_at[g] for g, (these, limits) in enumerate(_GROUPS))
+        else:
+            self.same_at = parent.same_at
 
-    def hinted(self) -> bool:
-        e = self
-        while e is not None:
-            if e.hints - (LAYOUT if e.holds else LAYOUT - EDGES if e.titled else frozenset()):
-                return True
-            e = e.parent
-        return False
+
+_NAMED = frozenset().union(*(x for pair in _GROUPS for x in pair))
 
 
 class _Block:
@@ -114,11 +128,14 @@ class _Block:
     def __init__(self, element: _Element, text: str, linked: int):
         self.element, self.text, self.linked, self.score = element, text, linked, 0.0
 
+    def mostly_links(self) -> bool:
+        return self.linked * 2 >= len(self.text)
+
 
 def _ends(html: str, at: int, name: str) -> dict[int, int]:
     """For opening tags from a place on that have an end tag of their own: where they start, and where that ends."""
     found, open_tags = {}, []
-    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?=[\s/>])(?:({_QUOTED})|([^>]*))>", html[at:], re.S | re.I):
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?=[\s/>])(?:({_QUOTED})|([^>]*))>", html[at : html.rfind(">") + 1], re.S | re.I):
         if m[1]:
             if open_tags:
                 found[open_tags.pop()] = at + m.end()
@@ -127,11 +144,26 @@ def _ends(html: str, at: int, name: str) -> dict[int, int]:
     return found
 
 
-def blocks(html: str) -> list[_Block]:
-    """The page's blocks in order, boilerplate included."""
-    root = _Element("#", "", False, set(), None, 0)
-    stack, out, text = [root], [], []
-    n, link_depth, linked, at, size, ends = 0, 0, 0, 0, len(html), {}
+def _own_hints(element: _Element, words: set[str]) -> None:
+    """What the element's own tag and attributes say; the rest is inherited when all scores are known."""
+    name = element.name
+    if name in ("html", "body", "main") or name in HEADINGS:
+        words = set()
+    if element.inner:
+        words = words - {"header"}
+    element.comments = not COMMENTS.isdisjoint(words)
+    tag = name in HINTED_TAGS or (name == "header" and not element.inner)
+    if tag or not HINTS.isdisjoint(words):
+        element.factor = HINTED
+    elif not WEAK_HINTS.isdisjoint(words):
+        element.factor = WEAKLY
+
+
+def blocks(html: str) -> tuple[list[_Block], list[_Element]]:
+    """The page's blocks and block-level elements in order, boilerplate included."""
+    root = _Element("#", 0, None)
+    stack, elements, out, text, paths, open_at = [root], [root], [], [], {}, {}
+    link_depth, linked, at, size, ends, last_tag = 0, 0, 0, len(html), {}, html.rfind(">")
 
     def flush():
         nonlocal linked
@@ -145,12 +177,17 @@ def blocks(html: str) -> list[_Block]:
     def close(depth: int):
         nonlocal link_depth
         flush()
+        for e in stack[depth:]:
+            open_at[e.name].pop()
         del stack[depth:]
         link_depth = 0
 
     while at < size:
+        if at > last_tag:  # no tag ends from here on
+            text.append(html[at:])
+            break
         m = _TOKEN.match(html, at)
-        at = m.end()
+        start, at = at, m.end()
         token = m[0]
         name = m[2] or m[5]
         if name is None:
@@ -163,60 +200,44 @@ def blocks(html: str) -> list[_Block]:
         name = name.lower()
         if m[1] or m[4]:
             if name in BLOCK:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        close(depth)
-                        break
+                if open_at.get(name):
+                    close(open_at[name][-1])
             elif name == "a" and link_depth:
                 link_depth -= 1
             continue
         attributes = m[3] or m[6] or ""
         if name in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            end = html.find(">", end.end()) if end else -1
+            at = end + 1 if end >= 0 else size
             continue
         if name in SKIPPED and not attributes.endswith("/"):
             if name not in ends:
-                ends[name] = _ends(html, m.start(), name)
-            at = ends[name].get(m.start(), at)
+                ends[name] = _ends(html, start, name)
+            at = ends[name].get(start, at)
             continue
         if name == "br" or name == "hr":
             text.append(" ")
         if name == "a":
             link_depth += 1
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == "p":
-                    close(depth)
-                    break
-                if stack[depth].name not in HEADINGS:
-                    break
-        if name in SAME:
-            these, limits = SAME[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in limits:
-                    break
-                if stack[depth].name in these:
-                    close(depth)
+        if name in CLOSES_P and stack[-1].p_at > 0:
+            close(stack[-1].p_at)
+        if name in _GROUP_OF:
+            while (depth := stack[-1].same_at[_GROUP_OF[name]]) > 0:
+                close(depth)
         if name in BLOCK and name not in VOID:
             flush()
             link_depth = 0
             above = stack[-1]
-            first, hints = _hint(attributes) if attributes else ("", set())
-            inner = any(x.name in CONTENT for x in stack)
-            gone = name in LEFT_OUT or (name == "header" and not inner) or (name == "article" and any(x.name == "article" for x in stack))
-            if name in ("html", "body", "main") or name in HEADINGS:
-                hints = set()
-            elif inner or name == "article":
-                hints = hints - {"header"}
-            if (name in CONTENT and not hints) or name == "h1":
-                for x in stack:
-                    x.holds, x.titled = x.holds or name != "h1", True
-            n += 1
-            path = f"{above.path}/{name}.{first}" if first else f"{above.path}/{name}"
-            stack.append(_Element(name, path, gone, hints, above, n))
+            first, words = _hint(attributes) if attributes else ("", set())
+            path = paths.setdefault((above.path, name, first), len(paths) + 1)
+            element = _Element(name, path, above)
+            _own_hints(element, words)
+            open_at.setdefault(name, []).append(element.depth)
+            stack.append(element)
+            elements.append(element)
     flush()
-    return out
+    return [b for b in out if b.element.name != "head"], elements
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -224,67 +245,80 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(w * values[min(last, max(0, i + k - 1))] for k, w in enumerate(KERNEL)) for i in range(len(values))]
 
 
-def scores(some: list[_Block]) -> None:
-    """Fused ratios of the blocks' paths, smoothed over the page."""
+def ratios(some: list[_Block]) -> None:
+    """Length and punctuation per path, smoothed over the page and fused."""
     chars, marks, count = {}, {}, {}
     for b in some:
         p = b.element.path
         count[p] = count.get(p, 0) + 1
         chars[p] = chars.get(p, 0) + max(0, len(b.text) - b.linked)
-        marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(b.text)) * (b.linked * 2 < len(b.text))
+        marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(b.text)) * (not b.mostly_links())
     length = _smooth([chars[b.element.path] / count[b.element.path] for b in some])
     marks = _smooth([marks[b.element.path] / count[b.element.path] for b in some])
     for b, x, y in zip(some, length, marks, strict=True):
         b.score = x * (1 + y)
 
 
-def select(some: list[_Block]) -> list[_Block]:
+def _inherit(some: list[_Block], elements: list[_Element]) -> None:
+    """Hints go down to what is inside, but those of a layout around most of the page's score."""
+    total = 0.0
+    for b in some:
+        total += b.score * len(b.text)
+        b.element.score += b.score * len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.score += e.score
+    for e in elements[1:]:
+        e.comments = e.comments and e.score < HELD * total
+        if e.score > LAYOUT * total:
+            e.factor = 0.0 if e.name in HINTED_TAGS and e.name != "form" else 1.0
+        e.factor, e.comments = min(e.factor, e.parent.factor), e.comments or e.parent.comments
+
+
+def scores(some: list[_Block], elements: list[_Element]) -> None:
+    """Ratios of the blocks' paths, times the factors of their elements."""
+    ratios(some)
+    _inherit(some, elements)
+    for b in some:
+        b.score *= b.element.factor * (RAISED if b.element.inner else 1.0)
+
+
+def select(some: list[_Block], elements: list[_Element]) -> list[_Block]:
     """The blocks of the article."""
-    scores(some)
-    weight = sum(len(b.text) for b in some)
-    bar = THRESHOLD * sum(b.score * len(b.text) for b in some) / weight
-    content = [i for i, b in enumerate(some) if b.score >= bar and b.linked * 2 < len(b.text)]
-    if not content:
+    scores(some, elements)
+    bar = THRESHOLD * sum(b.score * len(b.text) for b in some) / sum(len(b.text) for b in some)
+    passes = [b.score >= bar and b.score > 0 and not b.element.comments and not b.mostly_links() for b in some]
+    if True not in passes:
         return []
-    total, chain, nodes = 0.0, {}, {}
-    for i in content:
-        b, e = some[i], some[i].element
-        total += b.score * len(b.text)
-        while e is not None:
-            e.score += b.score * len(b.text)
-            chain[e.order] = e
-            nodes[e.order] = nodes.get(e.order, 0) + 1
-            e = e.parent
-    containers = [e for e in chain.values() if e.name in CONTAINERS or e.parent is None]
-    semantic = max((e for e in containers if e.score >= HELD * total), key=lambda e: e.order)
+    total = 0.0
+    for b, ok in zip(some, passes, strict=True):
+        if ok:
+            total += b.score * len(b.text)
+            b.element.content += b.score * len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.content += e.content
+    container = max((e for e in elements if e.content >= HELD * total and (e.name in CONTAINERS or e.parent is None)), key=lambda e: e.depth)
+    semantic = container
     while semantic is not None and semantic.name not in CONTENT:
         semantic = semantic.parent
-    container = semantic or max((e for e in containers if nodes[e.order] == len(content)), key=lambda e: e.order)
-
-    def inside(e: _Element | None) -> bool:
-        while e is not None and e is not container:
-            e = e.parent
-        return e is container
-
-    held = [inside(b.element) for b in some]
+    container = semantic or container
+    for e in elements:
+        e.inside = e is container or (e.parent is not None and e.parent.inside)
+    stays = [b.element.inside and b.element.factor == 1.0 and not b.element.comments for b in some]
+    start, stop = 0, len(some)
     if semantic is None:
-        first, start, stop = content[0], held.index(True), len(held) - held[::-1].index(True)
-        while first and held[first - 1] and some[first - 1].element.name in HEADINGS:
+        first, last = passes.index(True), len(passes) - 1 - passes[::-1].index(True)
+        while first and some[first - 1].element.inside and some[first - 1].element.name in HEADINGS:
             first -= 1
-        outer = [b.linked * 2 >= len(b.text) or b.element.hinted() for b in some]
-        while start < first and outer[start]:
+        while start < first and (not stays[start] or some[start].mostly_links()):
             start += 1
-        while stop - 1 > content[-1] and outer[stop - 1]:
+        while stop - 1 > last and (not stays[stop - 1] or some[stop - 1].mostly_links()):
             stop -= 1
-        held = [h and start <= i < stop for i, h in enumerate(held)]
-    return [b for b, h in zip(some, held, strict=True) if h]
+    return [b for i, b in enumerate(some) if passes[i] or (stays[i] and start <= i < stop)]
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    every = [b for b in found if not b.element.out] or [b for b in found if not b.element.out_but_forms]
-    some = [b for b in every if not b.element.hinted()] or every
-    return " ".join(b.text for b in select(some)) if some else ""
+    some, elements = blocks(html or "")
+    return " ".join(b.text for b in select(some, elements)) if some else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

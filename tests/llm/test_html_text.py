@@ -1,3 +1,10 @@
+import random
+import time
+from collections import Counter
+
+import pytest
+
+from objekta.llm import html_text
 from objekta.llm.html_text import extract, main_text
 
 ARTICLE = "<h1>A title &amp; more</h1><p>First part, with <b>bold</b>, commas. And <a href=x>a link</a> in it.<p>Second\n  part, longer than the first one. It has two sentences.</p>"
@@ -38,7 +45,7 @@ def test_pages_without_article_or_main_keep_all_parts():
 
 
 def test_unclosed_elements_that_are_skipped():
-    for name in ("svg", "math", "select", "canvas", "audio", "video", "object", "noscript", "template"):
+    for name in ("svg", "select", "canvas", "audio", "video", "object", "noscript", "template"):
         for whole in ("", f"<{name} class='a>b'>gone<{name}>too</{name}></{name.upper()} >", f"<!-- </{name}> -->"):
             for before in ("", f"<{name}>no, no. No</{name}>"):
                 page = f"<body>{before}<{name} x=1><article>{ARTICLE}{whole}<p>And, after it. All.</p></article></body>"
@@ -47,6 +54,77 @@ def test_unclosed_elements_that_are_skipped():
     assert main_text(f"<article>{'<svg>' * 20000}{ARTICLE}</article>") == WANT
 
 
+def test_formulas_and_sections_of_the_article_stay():
+    long = "<p>A section with much to say, in words, and more words. It goes on, and on; then it ends, at last.</p>" * 3
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be, as said. Then more, of it.</p></article>") == "Let x be, as said. Then more, of it."
+    for name in ("discussion", "responses", "notice", "tags", "related", "legal-history", "copyright-law"):
+        page = f"<body><nav><a href=1>Menu</a></nav><article><h1>Title</h1>{long}<div class='{name}'>{long}</div>{long}</article><footer>Us, here.</footer></body>"
+        assert main_text(page).count("at last.") == 9, name
+
+
+def sentences(rng, n):
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(1, 9)))
+    return " ".join(", ".join(" ".join(word() for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(1, 4))).capitalize() + "." for _ in range(n))
+
+
+def gold_page(rng, article, named):
+    """A page and its article's text. named: classes say what they are, else they are random letters."""
+    c = lambda name: name if named else "".join(rng.choice("qwxyz") for _ in range(6))
+    parts, gold = [], []
+    for k in range(rng.randrange(6, 25)):
+        kind = rng.choice(["p", "p", "p", "p", "h2", "ul", "blockquote"]) if k else "h1"
+        if kind == "ul":
+            items = [sentences(rng, 1) for _ in range(3)]
+            parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            gold += items
+        else:
+            text = sentences(rng, rng.randrange(2, 8)) if kind in ("p", "blockquote") else sentences(rng, 1)[:40].strip()
+            parts.append(f"<{kind}>{text}</{kind}>")
+            gold.append(text)
+    links = lambda n: "<ul>" + "".join(f"<li><a href={i}>{sentences(rng, 1)[:14].strip()}</a></li>" for i in range(n)) + "</ul>"
+    body = f"<article>{''.join(parts)}</article>" if article else f"<div class={c('post')}><div class={c('body')}>{''.join(parts)}</div></div>"
+    html = (
+        f"<html><head><title>T</title><style>p{{x}}</style></head><body><div class={c('topbar')}>{links(6)}</div><div class={c('ad')}>Buy now.</div>"
+        f"<div class={c('wrap')}>{body}<div class={c('sidebar')}><h3>More</h3>{links(8)}<div>Sign up today</div></div></div><div class={c('footer')}><span>Made here</span> <a href=x>Contact</a></div><script>var a = '<p>x, y. z</p>';</script></body></html>"
+    )
+    return html, " ".join(gold)
+
+
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize("named", [True, False])
+def test_precision_and_recall_against_gold_texts(article, named):
+    rng = random.Random(5 + article + 2 * named)
+    both = found = wanted = 0
+    for _ in range(120):
+        html, gold = gold_page(rng, article, named)
+        a, b = Counter(main_text(html).split()), Counter(gold.split())
+        both, found, wanted = both + (a & b).total(), found + a.total(), wanted + b.total()
+    assert both / found >= 0.99 and both / wanted >= 0.99, (both / found, both / wanted)
+
+
+def test_scores_decide(monkeypatch):
+    rng = random.Random(2)
+    pages = [gold_page(rng, k % 2, k % 4 > 1)[0] for k in range(60)]
+    texts = [main_text(p) for p in pages]
+
+    def constant(some, elements):
+        for b in some:
+            b.score = 100.0
+
+    monkeypatch.setattr(html_text, "scores", constant)
+    assert sum(main_text(p) != t for p, t in zip(pages, texts, strict=True)) >= 50
+
+
+def test_time_grows_with_length():
+    for odd in ("<div>", "<a ", "</p>", "<ul><div><li>", "<h1>", "<script></script", "<svg ", "<a '", "<table><tr><td>"):
+        began = time.process_time()
+        main_text(f"<p>Some text, here. More of it.</p>{odd * 100_000}<p>Some text, here. More of it.</p>")
+        assert time.process_time() - began < 5, odd
+    began = time.process_time()
+    main_text("<div>" * 100_000 + "<p>deep, text. here</p>" + "<li>" * 100_000 + "</p>" * 100_000)
+    assert time.process_time() - began < 5
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>One, two. Three é</p></article>", "x"), (1, "u", "<article><p>One, two. Three é</p></article>", "y"), (None, None, None, None), (2, "v", "", "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
