@@ -17,6 +17,7 @@ text; an empty table gives a folder with no rows; long texts are one list; extra
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -38,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Pieces that a worker remembers; when there are more it starts anew.
+#: Pieces that a worker remembers; when there are more, those of the last step stay.
 REMEMBERED = 400_000
 #: Bytes of text that are encoded together (one longer text is a step of its own).
 STEP_BYTES = 4 << 20
@@ -53,7 +54,7 @@ _WRITE = {
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#file_start": "false",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 _MARK = np.zeros(256, dtype=bool)
@@ -90,10 +91,15 @@ def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     far = np.r_[0, np.cumsum(data > 127)]
     wide = np.flatnonzero(split & (far[ends] > far[offsets[:-1]]))
     if len(wide):
-        split[wide] = [_letters(x) for x in bare.take(pa.array(wide)).to_pylist()]
+        split[wide] = [_letters(x) for x in bare.take(pa.array(wide)).to_numpy(zero_copy_only=False)]
     return pc.if_else(pa.array(split), bare, words), np.where(split, tail, np.uint64(0))
 
 
+def _lowers(normalizer: dict | None) -> bool:
+    """Whether a tokenizer's normalisation makes everything lower case."""
+    return normalizer is not None and (normalizer["type"] == "Lowercase" or any(map(_lowers, normalizer.get("normalizers", ()))))
+
+
 class ChunkEncoder:
     """Ids of texts. Each step's chunks are made distinct in Arrow, so that Python only meets those that are new to this worker.
 
@@ -105,15 +111,23 @@ class ChunkEncoder:
         self.ends = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
         for word, i in self.library.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
-        self.end_id, self.remembered = end_id, remembered
-        self.forget()
-
-    def forget(self) -> None:
-        """Piece 0 is the empty one, piece 1 the end of a text."""
+        #: Whether A-Z and a-z give the same ids, so that pieces are remembered in one case.
+        self.lowers = _lowers(json.loads(self.library.to_str())["normalizer"])
+        self.remembered = remembered
+        # Piece 0 is the empty one, piece 1 the end of a text.
         self.known: dict[str, int] = {"": 0}
-        self.ids = np.array([self.end_id], dtype=np.int32)
+        self.ids = np.array([end_id], dtype=np.int32)
         self.offsets = np.array([0, 0, 1], dtype=np.int32)
 
+    def lists(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.ids))
+
+    def forget_all_but(self, pieces: list[str]) -> None:
+        kept = [x for x in pieces if x]
+        left = self.lists().take(pa.array([0, 1, *(self.known[x] for x in kept)], pa.int32()))
+        self.offsets, self.ids = left.offsets.to_numpy().copy(), left.flatten().to_numpy().copy()
+        self.known = {"": 0} | {x: k for k, x in enumerate(kept, start=2)}
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text, one after the other, and how many each has."""
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -160,26 +174,33 @@ class ChunkEncoder:
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """How many ids each text has, the end included, and all ids one after the other."""
-        if len(self.known) > self.remembered:
-            self.forget()
         lists = pc.ascii_split_whitespace(texts)
         bounds = lists.offsets.to_numpy()
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         code = coded.indices.to_numpy()
         heads, tails = _parts(coded.dictionary)
-        heads = heads.dictionary_encode()
-        head = self.numbers(heads.dictionary.to_pylist())[heads.indices.to_numpy()]
+        heads = (pc.ascii_lower(heads) if self.lowers else heads).dictionary_encode()
+        pieces = heads.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
+        head = self.numbers(pieces)[heads.indices.to_numpy()]
         marks, which = np.unique(tails, return_inverse=True)
         tail = self.numbers([int(m).to_bytes(8, "little").rstrip(b"\0").decode() for m in marks])[which]
-        pairs = np.empty(2 * len(code) + len(texts), dtype=np.int32)
-        place = np.arange(len(code), dtype=np.int64) * 2 + np.repeat(np.arange(len(texts)), np.diff(bounds))
-        pairs[place] = head[code]
-        pairs[place + 1] = tail[code]
-        ends = bounds[1:].astype(np.int64) * 2 + np.arange(len(texts))
-        pairs[ends] = 1
-        until = np.cumsum(np.diff(self.offsets)[pairs], dtype=np.int64)[ends]
-        ids = pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.ids)).take(pa.array(pairs)).flatten()
+        # The distinct chunks' ids, then an end; then the chunks of all texts, each text with its end.
+        pairs = np.empty(2 * len(head) + 1, dtype=np.int32)
+        pairs[0:-1:2], pairs[1::2], pairs[-1] = head, tail, 1
+        offsets = np.zeros(len(pairs) + 1, dtype=np.int32)
+        np.cumsum(np.diff(self.offsets)[pairs], out=offsets[1:])
+        offsets = np.r_[offsets[0::2], offsets[-1]]
+        chunks = pa.ListArray.from_arrays(pa.array(offsets), self.lists().take(pa.array(pairs)).flatten())
+        ends = bounds[1:] + np.arange(len(texts), dtype=bounds.dtype)
+        places = np.ones(len(code) + len(texts), dtype=bool)
+        places[ends] = False
+        order = np.full(len(places), len(head), dtype=np.int32)
+        order[places] = code
+        until = np.cumsum(np.diff(offsets)[order], dtype=np.int64)[ends]
+        ids = chunks.take(pa.array(order)).flatten()
+        if len(self.known) > self.remembered:
+            self.forget_all_but(pieces)
         return np.diff(until, prepend=0), ids
 
 
