@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from objekta.model import Schema
+
 KINDS: dict[str, tuple[type, ...]] = {
     "int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
     "float": (T.FloatType, T.DoubleType),
@@ -55,5 +57,12 @@ def is_kind(df: DataFrame, column: str, kind: str) -> bool:
     return isinstance(df.schema[column].dataType, KINDS[kind])
 
 
+def is_kind_of_attribute(schema: Schema, cls: str, attribute: str, kind: str) -> bool:
+    """Known from the object schema: bag, set, list, array, coll or object (a reference)."""
+    found = schema.attribute(cls, attribute).kind
+    stored = {"inverse": "set", "link": "set", "reference": "object"}.get(found, found)
+    return stored in ("bag", "set", "list", "array") if kind == "coll" else stored == kind
+
+
 def is_empty(x: Column) -> Column:
     return x.isNull()

@@ -1,11 +1,10 @@
-"""Functions of the user: macros over Columns, methods of classes, and an aggregate as a pandas UDF."""
+"""Functions of the user: macros over Columns, methods of classes, and aggregates."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from inspect import signature
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +55,14 @@ class Methods:
         return out
 
 
-def grouped_median():
-    """An aggregate of the user's own kind, as a pandas UDF: the exact median."""
-    @F.pandas_udf("double")
-    def median(x: pd.Series) -> float:
-        return float(x.median())
+class Aggregate:
+    """An aggregate of the user's own: parts are aggregates that Spark merges (sums, counts, extremes of what the user computes), finish combines them.
 
-    return median
+    So a group is summed before the shuffle and never stands in one place as rows.
+    """
+
+    def __init__(self, finish: Callable[..., Column], **parts: Callable[..., Column]):
+        self.finish, self.parts = finish, parts
+
+    def __call__(self, *values: Column) -> Column:
+        return self.finish(**{name: part(*values) for name, part in self.parts.items()})

@@ -8,11 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def create(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """New objects; attributes that they don't set are null."""
+def create(table: DataFrame, rows: DataFrame, created: str = "") -> DataFrame:
+    """New objects; attributes that they don't set are null. created: the attribute that takes the time of creation (a table has none of its own)."""
+    rows = rows.withColumn(created, F.current_timestamp()) if created else rows
     return table.unionByName(rows, allowMissingColumns=True)
 
 
+def link(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A stored N-N collection with more links. Both have the columns of owner and element; pairs that are linked stay one link, those with a null are none."""
+    own = pairs.select(*links.columns[:2]).dropna()
+    return links.unionByName(own, allowMissingColumns=True).dropDuplicates(links.columns[:2])
+
+
+def unlink(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    a, b = links.columns[:2]
+    gone = pairs.select(F.col(a).alias("__owner"), F.col(b).alias("__element")).distinct()
+    return links.join(gone, (F.col(a) == F.col("__owner")) & (F.col(b) == F.col("__element")), "left_anti")
+
+
 def delete(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Without the objects whose key is in the first column of keys."""
     gone = keys.select(F.col(keys.columns[0]).alias("__gone"))

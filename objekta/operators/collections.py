@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 MAXINT = (1 << 63) - 1
 MININT = -(1 << 63)
@@ -31,6 +32,21 @@ def to_set(values: Column) -> Column:
     return F.array_distinct(values)
 
 
+def convert(df: DataFrame, name: str, kind: str) -> Column:
+    """toset, tobag, tolist and toarray of a column that must be a collection; others raise."""
+    if kind not in ("set", "bag", "list", "array"):
+        raise ValueError(f"no kind of collection: {kind}")
+    found = df.schema[name].dataType
+    if not isinstance(found, ArrayType):
+        raise TypeError(f"to {kind}: collection expected, got {found.simpleString()} {name}")
+    return to_set(F.col(name)) if kind == "set" else F.col(name)
+
+
+def contents(values: Column, kind: str = "list") -> Column:
+    """The elements of a collection value; of an array they are a set."""
+    return to_set(values) if kind == "array" else values
+
+
 def at(values: Column, i: int | Column) -> Column:
     """The element at a place; outside the collection it raises."""
     return F.element_at(values, (F.lit(i) if isinstance(i, int) else i) + 1)
@@ -147,6 +163,15 @@ def if_empty(values: Column, other: Column) -> Column:
     return F.when(cardinality(values) == 0, other).otherwise(values)
 
 
+def null_if_empty(values: Column) -> Column:
+    return F.when(cardinality(values) > 0, values)
+
+
+def get_one(values: Column, nested: bool = False) -> Column:
+    """The first element (of the first inner collection that has one, if nested); null of none."""
+    return first(F.flatten(values) if nested else values)
+
+
 def equal_by_place(df: DataFrame, a: str, b: str) -> Column:
     """Two struct columns field by field, in order; the names of fields don't matter, but their number does."""
     x, y = df.schema[a].dataType.names, df.schema[b].dataType.names

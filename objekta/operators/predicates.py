@@ -38,8 +38,11 @@ def differs(x: Column, pattern: str, ignore_case: bool = False) -> Column:
     return ~matches(x, pattern, ignore_case)
 
 
-def is_in(x: Column, values: Column) -> Column:
-    """Membership in a collection column; a null is in a collection that has a null."""
+def is_in(x: Column, values: Column | list | tuple | set) -> Column:
+    """Membership in a collection column, or among plain values, which reaches the scan; a null is in a collection that has a null."""
+    if not isinstance(values, Column):
+        known = x.isin([v for v in values if v is not None])
+        return known & x.isNotNull() if None not in values else known | x.isNull()
     return F.coalesce(F.exists(values, lambda e: e.eqNullSafe(x)), F.lit(False))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objekta.model import Attribute
+from objekta.operators.sets import marked
 from objekta.sources.catalog import Catalog
 
 Path = Callable[[str], Column]
@@ -98,7 +99,7 @@ class From:
 
     def where(self, condition: Callable[[Path], Column]) -> From:
         query, c = self._use(condition)
-        return query._with(query.df.where(F.coalesce(c, F.lit(False))))
+        return query._with(query.df.where(c))  # a filter drops nulls; a coalesce around it would hide join keys and pushed filters from Catalyst
 
     def join(self, name: str, cls: str, condition: Callable[[Path], Column]) -> From:
         """Another variable, with the condition that ties it to those before (equi- or theta-join)."""
@@ -197,7 +198,29 @@ class From:
             for key in dict.fromkeys(k for p in wanted.values() if isinstance(p, str) for k in followed[p]):
                 df = df.where(column(key).isNotNull())
         out = df.select(*[columns[p if isinstance(p, str) else name].alias(name) for name, p in wanted.items()])
-        return out.distinct() if distinct else out
+        return marked(out.distinct(), "set") if distinct else marked(out, "bag")
+
+    def group_by(self, *paths: str, having: Callable[[Path], Column] | None = None, **aggregates: tuple[Callable[[Path], Column], Callable[[Column], Column]]) -> DataFrame:
+        """A row for each value of the paths (keys are named by their last parts) with aggregates, each (value over paths, aggregate function).
+
+        The group itself as a collection is (lambda p: F.struct(...), F.collect_list), which holds all its rows at once; having is over the result's names.
+        Rows whose key goes through a null reference are left out, as in select().
+        """
+        keys = {p.rpartition(".")[2]: p for p in paths}
+        query, columns, followed = self._resolve([*paths])
+        values = {}
+        for name, (make, _) in aggregates.items():
+            query, values[name] = query._use(make)
+        df = query.df
+        for key in dict.fromkeys(k for p in paths for k in followed[p]):
+            df = df.where(column(key).isNotNull())
+        out = df.groupBy(*[columns[p].alias(name) for name, p in keys.items()]).agg(*[fn(values[n]).alias(n) for n, (_, fn) in aggregates.items()])
+        return marked(out.where(having(column)) if having else out, "set")
+
+    def contents(self, path: str) -> DataFrame:
+        """The elements of a stored collection, of all rows, with their own attributes: a bag of objects."""
+        query = self.unnest("contents", path)
+        return marked(query.everything("contents") if query.classes["contents"] else query.df.select(column("contents")), "bag")
 
 
 def matching(catalog: Catalog, cls: str, condition: Callable[[Path], Column]) -> DataFrame:

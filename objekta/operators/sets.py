@@ -13,6 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Kind = Literal["set", "bag"]
+Result = Literal["set", "bag", "list"]
+
+
+def marked(df: DataFrame, kind: Result) -> DataFrame:
+    """Notes what kind of collection a result is: select distinct gives a set, order by a list, any other select a bag. Later DataFrame operations forget it."""
+    df.object_kind = kind
+    return df
+
+
+def kind_of(df: DataFrame) -> Result:
+    return getattr(df, "object_kind", "bag")
+
+
+def own_kinds(a: DataFrame, b: DataFrame) -> tuple[Kind, Kind]:
+    """The kinds that two results carry, for the operators below; a list raises there."""
+    return kind_of(a), kind_of(b)
 
 
 def _kind(a: Kind, b: Kind) -> Kind:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from objekta.functions.registry import Functions, Methods, grouped_median
+from objekta.functions.registry import Aggregate, Functions, Methods
 from objekta.operators import collections as C
 from objekta.operators import predicates as P
 from objekta.operators import sets
@@ -40,9 +40,9 @@ def array_access(spark, d):
     return catalog(spark, d).extent("Embedding").select("vec_id", C.at(v, 0).alias("first_value"), C.last(v).alias("last_value"), F.round(C.total(part.cast("array<double>")), 6).alias("pair"), C.cardinality(v).cast("long").alias("n"))
 
 
-@query("SELECT vec_id, i - 1 AS i, embedding[i] AS x FROM embeddings, range(1, 65) r(i) WHERE vec_id < 50")
+@query("SELECT vec_id, i - 1 AS i, embedding[i] AS x FROM embeddings, range(1, 65) r(i)")
 def array_unnest(spark, d):
-    q = From(catalog(spark, d), v="Embedding").where(lambda p: p("v.vec_id") < 50).unnest("x", "v.embedding", index="i")
+    q = From(catalog(spark, d), v="Embedding").unnest("x", "v.embedding", index="i")
     return q.select("v.vec_id", i=lambda p: column("i").cast("long"), x="x")
 
 
@@ -159,6 +159,27 @@ def struct_equality(spark, d):
     return rows.select("orderkey", C.equal_by_place(rows, "x", "y").alias("same"))
 
 
+@query(f"SELECT partkey, least(b[1] * 10 + 1, b[2] * 10 + 2)::INT AS last_pair, greatest(b[1] * 10 + 1, b[2] * 10 + 2)::INT AS first_pair FROM ({_PART_LISTS})")
+def sort_by_place_down(spark, d):
+    ten = lambda x, k: F.array(x * 10 + k, F.lit(k))
+    down = C.sort_by_place(F.array(ten(F.get("b", F.lit(0)), 1), ten(F.get("b", F.lit(1)), 2)), 0, descending=True)
+    return _lists(spark, d).select("partkey", C.at(C.at(down, 1), 0).alias("last_pair"), C.at(C.at(down, 0), 0).alias("first_pair"))
+
+
+@query(f"SELECT partkey, {_sql('list_sort(list_distinct(b))')} AS as_set, {_sql('b')} AS as_list, {_sql('list_sort(list_distinct(b))')} AS contents FROM ({_PART_LISTS})")
+def collection_conversions(spark, d):
+    rows = _lists(spark, d)
+    b = {kind: C.convert(rows, "b", kind) for kind in ("set", "bag", "list", "array")}
+    return rows.select("partkey", _text(F.sort_array(b["set"])).alias("as_set"), _text(C.convert(rows, "b", "list")).alias("as_list"), _text(F.sort_array(C.contents(b["array"], "array"))).alias("contents"))
+
+
+@query(f"SELECT partkey, CASE WHEN len(e) = 0 THEN '9' ELSE array_to_string(e, ',') END AS or_other, len(e) = 0 AS none, e[1] AS one, b[1] AS nested FROM (SELECT *, list_filter(b, lambda x: x > 2) AS e FROM ({_PART_LISTS}))")
+def empty_collections(spark, d):
+    e = C.each(F.col("b"), lambda x: x, lambda x: x > 2)
+    other = C.make_list(F.lit(9))
+    return _lists(spark, d).select("partkey", _text(C.if_empty(e, other)).alias("or_other"), C.null_if_empty(e).isNull().alias("none"), C.get_one(e).alias("one"), C.get_one(F.array(C.emptied(F.col("b")), F.col("b")), nested=True).alias("nested"))
+
+
 # Functions of the user
 
 
@@ -170,6 +191,14 @@ def defined_function(spark, d):
     return rows.select("partkey", F.round(f("gross", F.col("retailprice")), 4).alias("gross"), F.round(f("gross", F.col("retailprice"), 0.05), 4).alias("reduced"))
 
 
+@query(f"SELECT partkey, {_sql('list_transform(b, lambda x: x * 10)')} AS tens, {_sql('list_transform(b, lambda x: x + 1)')} AS next FROM ({_PART_LISTS})")
+def function_values(spark, d):
+    f = Functions()
+    f.define(lambda values, fn: C.each(values, fn), "map")
+    f.define(lambda x, n=10: x * n, "times")
+    return _lists(spark, d).select("partkey", _text(f("map", F.col("b"), lambda x: f("times", x))).alias("tens"), _text(f("map", F.col("b"), lambda x: x + 1)).alias("next"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'purchase' THEN value * 2 WHEN 'error' THEN 0 ELSE value END AS weight FROM events")
 def method_dispatch(spark, d):
     cat = catalog(spark, d)
@@ -182,7 +211,15 @@ def method_dispatch(spark, d):
 
 @query("SELECT c_mktsegment AS mktsegment, median(c_acctbal) AS m FROM customer GROUP BY 1")
 def user_aggregate(spark, d):
-    return catalog(spark, d).extent("Customer").groupBy("mktsegment").agg(grouped_median()("acctbal").alias("m"))
+    return catalog(spark, d).extent("Customer").groupBy("mktsegment").agg(F.median("acctbal").alias("m"))
+
+
+@query("SELECT c_mktsegment AS mktsegment, round(sqrt(avg(c_acctbal * c_acctbal)), 4) AS rms, round((max(c_acctbal) - min(c_acctbal)) / count(*), 6) AS spread FROM customer GROUP BY 1")
+def user_aggregate_of_parts(spark, d):
+    rms = Aggregate(lambda squares, n: F.sqrt(squares / n), squares=lambda x: F.sum(x * x), n=F.count)
+    spread = Aggregate(lambda low, high, n: (high - low) / n, low=F.min, high=F.max, n=F.count)
+    x = F.col("acctbal")
+    return catalog(spark, d).extent("Customer").groupBy("mktsegment").agg(F.round(rms(x), 4).alias("rms"), F.round(spread(x), 6).alias("spread"))
 
 
 @query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from objekta.model import Schema
 from objekta.operators import changes, integrity, ordering, sets
 from objekta.operators import predicates as P
 from objekta.operators.query import From, column, matching
@@ -34,6 +35,14 @@ def shallow_extent(spark, d):
     return From(catalog(spark, d), ("e",), e="Event").select("e.event_id")
 
 
+@query("SELECT event_id FROM events WHERE event_type NOT IN ('purchase', 'error')")
+def shallow_extent_of_some(spark, d):
+    """Of a schema in which only two kinds of events are classes of their own."""
+    cat = catalog(spark, d)
+    some = Schema.of(SCHEMA["Event"], SCHEMA["Purchase"], SCHEMA["Error"])
+    return From(Catalog(spark, some, cat.read), ("e",), e="Event").select("e.event_id")
+
+
 @query("SELECT upper(event_type[1]) || event_type[2:] AS class, count(*) AS n FROM events GROUP BY ALL")
 def class_of_objects(spark, d):
     cat = catalog(spark, d)
@@ -147,9 +156,9 @@ def inverse_count(spark, d):
     return From(catalog(spark, d), n="Nation").count_of("n.customers", "n_customers").select("n.name", n=lambda p: column("n_customers"))
 
 
-@query("SELECT c_custkey AS custkey, list(o_orderkey ORDER BY o_orderkey)::VARCHAR AS orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200 GROUP BY ALL")
+@query("SELECT c_custkey AS custkey, list(o_orderkey ORDER BY o_orderkey)::VARCHAR AS orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def inverse_collection(spark, d):
-    q = From(catalog(spark, d), c="Customer").where(lambda p: p("c.custkey") < 200).collect("c.orders", orders=(lambda p: p("e.orderkey"), F.collect_list))
+    q = From(catalog(spark, d), c="Customer").collect("c.orders", orders=(lambda p: p("e.orderkey"), F.collect_list))
     rows = q.where(lambda p: column("orders").isNotNull()).select("c.custkey", orders=lambda p: F.sort_array(column("orders")))
     return rows.select("custkey", F.concat(F.lit("["), F.array_join(F.col("orders").cast("array<string>"), ", "), F.lit("]")).alias("orders"))
 
@@ -168,7 +177,7 @@ def distinct_select(spark, d):
 @query("SELECT o_orderkey AS orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
 def one_element(spark, d):
     rows = From(catalog(spark, d), o="Order").select("o.orderkey", "o.totalprice")
-    return rows.orderBy(F.desc("totalprice"), "orderkey").limit(1).select("orderkey")
+    return ordering.one(rows, F.desc("totalprice"), F.asc("orderkey")).select("orderkey")
 
 
 @query("SELECT o_orderkey AS orderkey, o_totalprice AS totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")
@@ -188,8 +197,30 @@ def order_by_several(spark, d):
 
 @query("SELECT c_mktsegment AS mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS avg_bal FROM customer GROUP BY 1 HAVING count(*) > 100")
 def group_by_having(spark, d):
-    rows = From(catalog(spark, d), c="Customer").select("c.mktsegment", "c.acctbal")
-    return rows.groupBy("mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("acctbal"), 4).alias("avg_bal")).where("n > 100")
+    mean = lambda x: F.round(F.avg(x), 4)
+    return From(catalog(spark, d), c="Customer").group_by("c.mktsegment", having=lambda p: p("n") > 100, n=(lambda p: F.lit(1), F.count), avg_bal=(lambda p: p("c.acctbal"), mean))
+
+
+@query("SELECT r_name AS name, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(*) > 2")
+def group_collection(spark, d):
+    q = From(catalog(spark, d), n="Nation")
+    rows = q.group_by("n.region.name", having=lambda p: F.size(p("partition")) > 2, partition=(lambda p: F.struct(p("n.name").alias("nation")), F.collect_list))
+    return rows.select("name", F.size("partition").cast("long").alias("n"), F.array_join(F.sort_array(F.transform("partition", lambda e: e["nation"])), ",").alias("members"))
+
+
+@query("SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def operators_by_result_kind(spark, d):
+    """Two distinct results are sets, so that their intersection is one without the caller saying so."""
+    q = From(catalog(spark, d), o="Order")
+    a = q.where(lambda p: p("o.orderstatus") == "F").select(custkey="o.customer", distinct=True)
+    b = q.where(lambda p: p("o.totalprice") > 300000).select(custkey="o.customer", distinct=True)
+    return sets.intersect_rows(a, b, sets.own_kinds(a, b))
+
+
+@query("SELECT o_orderkey AS orderkey, o_totalprice AS totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def contents_of_collection(spark, d):
+    rows = From(catalog(spark, d), c="Customer").where(lambda p: p("c.mktsegment") == "BUILDING").contents("c.orders")
+    return rows.select("orderkey", "totalprice")
 
 
 @query("SELECT c_mktsegment AS mktsegment, c_custkey AS custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3")
@@ -321,11 +352,16 @@ def except_set(spark, d):
     return sets.except_rows(*_keys(spark, d))
 
 
-@query(f"SELECT count(*) = 0 AS included, false AS properly_included FROM ({_B} EXCEPT {_A}) WHERE custkey >= 0")
+@query(f"SELECT m = 0 AS included, m = 0 AND nb < na AS properly_included FROM (SELECT count(*) AS m FROM ({_B} EXCEPT {_A})), (SELECT count(DISTINCT custkey) AS na FROM ({_A})), (SELECT count(DISTINCT custkey) AS nb FROM ({_B}))")
 def inclusion(spark, d):
     a, b = _keys(spark, d)
-    found = sets.included_rows(b.distinct(), a.distinct())
-    return found.select("included", F.lit(False).alias("properly_included"))
+    return sets.included_rows(b.distinct(), a.distinct())
+
+
+@query(f"SELECT true AS included, na < nc AS properly_included FROM (SELECT count(DISTINCT custkey) AS na FROM ({_A})), (SELECT count(*) AS nc FROM customer)")
+def proper_inclusion(spark, d):
+    a, _ = _keys(spark, d)
+    return sets.included_rows(a.distinct(), From(catalog(spark, d), c="Customer").select("c.custkey"))
 
 
 # Checks
@@ -341,6 +377,13 @@ def not_null_check(spark, d):
     return integrity.missing(catalog(spark, d).extent("Part"), "name", "brand").select("partkey")
 
 
+@query("SELECT p_partkey AS partkey FROM part WHERE p_size % 7 = 0 OR p_brand = 'Brand#1'")
+def not_null_check_of_gaps(spark, d):
+    cat = catalog(spark, d)
+    gaps = cat.read("part").withColumns({"p_name": F.when(F.col("p_size") % 7 != 0, F.col("p_name")), "p_brand": F.when(F.col("p_brand") != "Brand#1", F.col("p_brand"))})
+    return integrity.missing(cat.replacing("part", gaps).extent("Part"), "name", "brand").select("partkey")
+
+
 @query("SELECT * FROM (SELECT c_custkey AS custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) WHERE n < 5 OR n > 15")
 def cardinality_check(spark, d):
     return integrity.out_of_cardinality(catalog(spark, d), "Customer", "orders", 5, 15)
@@ -381,6 +424,26 @@ def create_objects(spark, d):
     return changes.create(catalog(spark, d).read("region"), spark.createDataFrame([(99, "ATLANTIS")], "r_regionkey int, r_name string"))
 
 
+@query("SELECT DISTINCT l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem WHERE l_partkey NOT IN (2, 3) UNION SELECT 1, 999999")
+def link_objects(spark, d):
+    """The stored N-N collection of a part's suppliers with a new link, one that exists already, and without two parts' links."""
+    links = catalog(spark, d).extent("Lineitem").select(F.col("part").alias("partkey"), F.col("supplier").alias("suppkey")).distinct()
+    new = spark.createDataFrame([(1, 999999), (1, 999999), (None, 1)], links.schema)
+    more = changes.link(links, new.unionByName(links.where("partkey = 1")))
+    return changes.unlink(more, links.where("partkey in (2, 3)"))
+
+
+@query("SELECT r_regionkey, r_name, false AS dated FROM region UNION ALL SELECT 99, 'ATLANTIS', true")
+def creation_time(spark, d):
+    rows = changes.create(catalog(spark, d).read("region"), spark.createDataFrame([(99, "ATLANTIS")], "r_regionkey int, r_name string"), created="made")
+    return rows.select("r_regionkey", "r_name", (F.col("made") <= F.current_timestamp()).eqNullSafe(F.lit(True)).alias("dated"))
+
+
+@query("SELECT n_nationkey AS nationkey, true AS dated FROM nation")
+def modification_time(spark, d):
+    return catalog(spark, d).modified("Nation").select("nationkey", (F.col("modified") <= F.current_timestamp()).alias("dated"))
+
+
 @query("SELECT o_orderkey AS orderkey FROM orders WHERE NOT o_totalprice < 50000")
 def delete_objects(spark, d):
     rows = catalog(spark, d).extent("Order")

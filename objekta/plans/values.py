@@ -71,7 +71,7 @@ def logic(spark, d):
 
 @query("SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def in_list(spark, d):
-    return From(catalog(spark, d), c="Customer").where(lambda p: P.is_in(p("c.mktsegment"), F.array(F.lit("BUILDING"), F.lit("MACHINERY")))).select("c.custkey")
+    return From(catalog(spark, d), c="Customer").where(lambda p: P.is_in(p("c.mktsegment"), ["BUILDING", "MACHINERY"])).select("c.custkey")
 
 
 @query("SELECT event_id, list_position(['view', 'signup', 'purchase', 'error', 'click'], event_type) - 1 AS kind FROM events")
@@ -151,9 +151,23 @@ def string_capitalise(spark, d):
     return _rows(spark, d, "Part").select("partkey", strings.capitalise_words(F.replace(F.col("name"), F.lit(" "), F.lit("_"))).alias("c"))
 
 
+@query("SELECT p_partkey AS partkey, len(p_name) - strpos(reverse(p_name), 'l') AS last_l, p_name[3] AS third, p_name[1] || 'X' || p_name[3:] AS changed FROM part WHERE contains(p_name, 'l')")
+def string_chars(spark, d):
+    s = F.col("name")
+    rows = _rows(spark, d, "Part").where(F.contains(s, F.lit("l")))
+    return rows.select("partkey", strings.find_last(s, "l").cast("long").alias("last_l"), strings.char_at(s, 2).alias("third"), strings.put_char(s, 1, "X").alias("changed"))
+
+
 # Math
 
 
+@query("SELECT p_partkey AS partkey, round(tan(x), 9) AS t, round(atan(x), 9) AS at, round(acosh(x + 1), 9) AS ach, round(atanh(x / 60), 9) AS ath, round(exp(x / 50) - 1, 9) AS em, round(ln(1 + x), 9) AS l1 FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)")
+def more_math_functions(spark, d):
+    x = F.col("size").cast("double")
+    r = lambda name, n, c: F.round(maths.builtin(name, c), 9).alias(n)
+    return _rows(spark, d, "Part").select("partkey", r("tan", "t", x), r("atan", "at", x), r("acosh", "ach", x + 1), r("atanh", "ath", x / 60), r("expm1", "em", x / 50), r("log1p", "l1", x))
+
+
 @query("SELECT p_partkey AS partkey, round(sin(x), 9) AS s, round(cos(x), 9) AS c, round(atan2(x, 2.0), 9) AS a, round(ln(x), 9) AS l, round(log10(x), 9) AS l10, round(sqrt(x), 9) AS q, round(cbrt(x), 9) AS cb, round(exp(x / 50), 9) AS e, round(pow(x, 1.5), 6) AS p FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)")
 def math_functions(spark, d):
     x = F.col("size").cast("double")
@@ -188,6 +202,22 @@ def special_functions(spark, d):
     )
 
 
+@query("""
+WITH s AS (SELECT DISTINCT p_size, p_size::DOUBLE / 10 AS x FROM part),
+j AS (SELECT p_size, x, list_transform(range(0, 62), lambda n: list_avg(list_transform(range(0, 100), lambda k: cos(n * ((k + 0.5) * pi() / 100) - x * sin((k + 0.5) * pi() / 100))))) AS j FROM s),
+f AS (SELECT p_size, round(exp(-x * x) * list_sum(list_transform(range(0, 90), lambda n: pow(x, 2 * n + 1) / gamma(n + 1.5))), 9) AS erf, round(lgamma(x), 9) AS lgamma, floor(log2(x) + 1e-12)::INT AS ilogb, nextafter(x, 9.0::DOUBLE) AS next_up,
+  round(x - round_even(x / 0.7, 0) * 0.7, 9) AS remainder, x * 8 AS scaled, round(j[1], 9) AS j0, round(j[2], 9) AS j1, round(j[3], 9) AS j2,
+  round(2 / pi() * (ln(x / 2) + 0.57721566490153286) * j[1] - 4 / pi() * list_sum(list_transform(range(1, 30), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * j[2 * k + 1] / k)), 9) AS y0 FROM j)
+SELECT p_partkey AS partkey, f.* EXCLUDE (p_size) FROM part JOIN f ON part.p_size = f.p_size
+""")
+def special_functions_by_definition(spark, d):
+    x, r = (F.col("size") / 10).cast("double"), lambda c, n: F.round(c, 9).alias(n)
+    return _rows(spark, d, "Part").select(
+        "partkey", r(maths.erf(x), "erf"), r(maths.lgamma(x), "lgamma"), maths.ilogb(x).alias("ilogb"), maths.nextafter(x, F.lit(9.0)).alias("next_up"), r(maths.remainder(x, F.lit(0.7)), "remainder"), maths.scalb(x, F.lit(3)).alias("scaled"),
+        r(maths.j0(x), "j0"), r(maths.j1(x), "j1"), r(maths.jn(F.lit(2), x), "j2"), r(maths.y0(x), "y0"),
+    )
+
+
 # Dates and times
 
 
@@ -241,6 +271,23 @@ def conversions(spark, d):
     )
 
 
+@query("SELECT c_custkey AS custkey, coalesce(try_cast(regexp_extract(substr(c_name, 15), '^\\s*([+-]?[0-9]+)', 1) AS DOUBLE), 0) AS x, 0.0::DOUBLE AS none, 'string' AS name_type, 'double' AS balance_type FROM customer")
+def float_of_text(spark, d):
+    name = F.col("name")
+    return _rows(spark, d, "Customer").select(
+        "custkey", conversion.to_float(F.substring(name, 15, 99), is_string=True).alias("x"), conversion.to_float(name, is_string=True).alias("none"), conversion.type_of(name).alias("name_type"), conversion.type_of(F.col("acctbal")).alias("balance_type")
+    )
+
+
+@query("SELECT * FROM (VALUES ('Customer', 'orders', 'set'), ('Customer', 'nation', 'object'), ('Embedding', 'embedding', 'array'), ('Part', 'suppliers', 'set')) t(class, attribute, kind)")
+def kinds_of_attributes(spark, d):
+    """is_set, is_bag, is_list, is_array and is_object over all attributes of four classes' kinds."""
+    schema = catalog(spark, d).schema
+    some = (("Customer", "orders"), ("Customer", "nation"), ("Customer", "name"), ("Embedding", "embedding"), ("Part", "suppliers"))
+    rows = [(c, a, k) for c, a in some for k in ("bag", "set", "list", "array", "object") if conversion.is_kind_of_attribute(schema, c, a, k)]
+    return spark.createDataFrame(rows, "class string, attribute string, kind string")
+
+
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def literal_attribute(spark, d):
     return From(catalog(spark, d), e="Event").select("e.event_id", k="e.props.k")

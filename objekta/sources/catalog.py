@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +14,20 @@ from objekta.model import Schema
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in one of our own where that is unset."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="objekta-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_folder()
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="objekta-")
+
+
 Reader = Callable[[str], DataFrame]
 
 

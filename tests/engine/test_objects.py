@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from objekta.functions import conversion
 from objekta.functions.registry import Functions, Methods
 from objekta.model import ClassDef, Schema, collection, inverse, link, literal, reference, scalar
-from objekta.operators import changes, integrity
+from objekta.operators import changes, integrity, ordering, sets
+from objekta.operators import collections as C
 from objekta.operators.query import From, column, matching
 from objekta.sources.catalog import Catalog, across
 
@@ -95,6 +97,53 @@ def test_collections(cat):
     assert got(q.join("o", "Car", lambda p: p("o.owner") == p("p.id")).where(lambda p: p("p.age") > 39).select("o.num")) == [(10,), (11,), (15,)]
 
 
+def test_joins_have_keys_and_scans_have_filters(spark):
+    """Without broadcasts: a nested loop would take hours where a hash or merge join takes seconds."""
+    from objekta.plans.catalogue import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, joins, filters in (("equi_join", 2, ("GreaterThan(o_totalprice,300000.0)", "EqualTo(p_size,15)")), ("theta_join", 1, ("GreaterThan(c_acctbal,9000.0)",)), ("dependent_from", 2, ("GreaterThan(o_totalprice,200000.0)", "EqualTo(n_name,NATION_3)")), ("in_list", 0, ("In(c_mktsegment, [BUILDING,MACHINERY])",))):
+            plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+            assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") >= joins, name
+            pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+            assert all(any(f in line for line in pushed) for f in filters), (name, pushed)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_results_know_their_kind(cat):
+    q = From(cat, c="Car")
+    assert [sets.kind_of(x) for x in (q.select("c.num"), q.select("c.brand", distinct=True), ordering.order_by(q.select("c.num"), "num"), cat.extent("Car"))] == ["bag", "set", "list", "bag"]
+    brands, all_brands = q.select("c.brand", distinct=True), q.select("c.brand")
+    assert sets.union_rows(brands, brands, sets.own_kinds(brands, brands)).count() == 4 and sets.union_rows(brands, all_brands, sets.own_kinds(brands, all_brands)).count() == 10
+    with pytest.raises(TypeError):
+        sets.union_rows(brands, brands, sets.own_kinds(ordering.order_by(brands, "brand"), brands))
+
+
+def test_groups_contents_and_links(cat, spark):
+    q = From(cat, c="Car")
+    assert got(q.group_by("c.owner.name", having=lambda p: p("n") > 1, n=(lambda p: F.lit(1), F.count), most=(lambda p: p("c.num"), F.max))) == [("john", 3, 15)]
+    groups = q.group_by("c.brand", partition=(lambda p: F.struct(p("c.num").alias("num"), p("c.owner.name").alias("name")), F.collect_list))
+    assert {r.brand: sorted(x.num for x in r.partition) for r in groups.collect()} == {"fiat": [10, 12, 15], "vw": [11], None: [13], "saab": [14]}
+    assert got(From(cat, p="Person").where(lambda p: p("p.id") == 1).contents("p.cars").select("num")) == [(10,), (11,), (15,)]
+    assert got(From(cat, p="Person").where(lambda p: p("p.id") == 1).contents("p.nicknames")) == [("j",), ("jo",), (None,)]
+    links = spark.createDataFrame([(1, 10), (2, 12)], "rider long, car long")
+    more = spark.createDataFrame([(1, 10), (3, 11), (3, 11), (None, 2)], "rider long, car long")
+    assert got(changes.link(links, more)) == [(1, 10), (2, 12), (3, 11)]
+    assert got(changes.unlink(changes.link(links, more), more)) == [(2, 12)]
+    assert changes.create(links, more, created="made").where("made is not null").count() == 4
+    rows = cat.extent("Person")
+    assert C.convert(rows, "nicknames", "set") is not None and got(rows.where("id = 5").select(C.convert(rows, "nicknames", "set"))) == [(["z"],)]
+    with pytest.raises(TypeError):
+        C.convert(rows, "name", "set")
+    with pytest.raises(ValueError):
+        C.convert(rows, "nicknames", "heap")
+    assert conversion.is_kind_of_attribute(SCHEMA, "Person", "cars", "set") and conversion.is_kind_of_attribute(SCHEMA, "Person", "nicknames", "array") and conversion.is_kind_of_attribute(SCHEMA, "Person", "spouse", "object") and conversion.is_kind_of_attribute(SCHEMA, "Person", "cars", "coll") and not conversion.is_kind_of_attribute(SCHEMA, "Person", "name", "coll")
+
+
 def test_changes(cat, spark):
     people = cat.read("people")
     assert changes.create(people, spark.createDataFrame([(6, "new")], "id long, name string")).where("age is null and id = 6").count() == 1
