@@ -7,11 +7,13 @@ it also starts in a document with a smaller doc_id.
 2. Every window belongs to the smallest of its GRAM-word hashes, its key; neighbouring windows with one key are a segment,
    so equal windows always stand in segments with equal keys. Only (key, id) is shuffled: a key that two ids
    have is recurring. About one word in twenty starts a segment.
-3. Segments with recurring keys travel by key. A shard, some keys' segments, confirms recurring windows, joins those that
-   always follow each other to passages, compiles the passages to an automaton of word numbers (pyahocorasick) and
-   streams all its segments through it. An occurrence whose passage occurs in a document with a smaller id is covered.
-4. Keys with over HOT ids go another exact way, in rows: their windows are aggregated by hash to the smallest id (partial
-   sums, no group in memory) and joined back, where Spark can split what is skewed.
+3. Segments with recurring keys are made distinct by their words, with the smallest id. A copy with a larger id is covered as a whole;
+   the distinct ones travel by key. A shard, some keys' segments, numbers its words by their bytes, confirms recurring windows by these
+   numbers, joins those that always follow each other to passages, compiles the passages to an automaton (pyahocorasick)
+   and streams all its segments through it. An occurrence whose passage occurs in a document with a smaller id is covered.
+4. The distinct segments of one key may exceed HOT bytes, more than one automaton is made for. Their windows go another exact way, as rows: by
+   a digest of the window's words to the smallest id (partial sums, no group in memory) and back, where Spark can split what is skewed.
+   Both ways compare the words themselves (or 128 bits of BLAKE2b), so they cover the same.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as larger than any other, and as equal to other
 nulls; rows that repeat a doc_id never remove words from each other; an empty table gives no rows; long texts are read
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +36,14 @@ from objekta.llm.common import cut, partitions, table, unused
 
 WINDOW = 50
 GRAM = 10
-#: Ids of a key up to which its segments meet in one shard.
-HOT = 10_000
+#: Bytes of distinct segments up to which a key's segments meet in one shard.
+HOT = 4 << 20
 #: Bytes of segments that one automaton is made for (a key's segments stay together).
 SHARD_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 
-_SEGMENTS = "key long, id long, digest binary, start int, hot boolean, text binary"
-_COVERED = "digest binary, start int, end int"
+_SEGMENTS = "key long, id long, digest binary, start int, n_words int, segment binary, text binary"
+_COVERED = "segment binary, start int, end int"
 
 
 def _sliding_min(g: np.ndarray, n: int) -> np.ndarray:
@@ -79,53 +82,68 @@ def _keys(window: int):
     return keys
 
 
+def _short_digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _cutter(window: int):
-    """The segments of a text whose keys are in its list of recurring ones."""
+    """The segments of a text whose keys are in its list of recurring ones; their words are joined by one space."""
+    kinds = {"key": pa.int64(), "id": pa.int64(), "digest": pa.binary(), "start": pa.int32(), "n_words": pa.int32(), "segment": pa.binary(), "text": pa.binary()}
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            wanted, hot = batch.column(3), batch.column(4)
+            ids, digests, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(3)
             for step in wh.word_steps(batch.column(2), wh.NOT_SPACE):
                 row, key, first, last = segments(step, window)
                 if not len(row):
                     continue
                 bounds = np.searchsorted(row, np.arange(len(step.rows) + 1))
-                out = [[] for _ in range(6)]
+                out = [[] for _ in kinds]
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
                     a, b, r = int(bounds[k]), int(bounds[k + 1]), step.rows[k]
                     recurring = np.isin(key[a:b], wanted[r].values.to_numpy(zero_copy_only=False))
-                    hot_keys = set(hot[r].as_py())
                     for i in (np.flatnonzero(recurring) + a).tolist():
                         s, e = int(first[i]), int(last[i]) + window
-                        row_of = (int(key[i]), int(ids[r]), digests[r].as_py(), s - int(step.first[k]), int(key[i]) in hot_keys, step.data[step.starts[s] : step.ends[e - 1]].tobytes())
+                        words = b" ".join(step.data[step.starts[s] : step.ends[e - 1]].tobytes().split())
+                        row_of = (int(key[i]), int(ids[r]), digests[r].as_py(), s - int(step.first[k]), e - s, _short_digest(words), words)
                         for column, value in zip(out, row_of, strict=True):
                             column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["key", "id", "digest", "start", "hot", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.values(), strict=True)], [*kinds])
 
     return cut_out
 
 
+def window_ranks(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n values from each place on, where there are n: equal for equal values and only for those (by doubling, without hashes)."""
+    rank, width = numbers.astype(np.int64), 1
+
+    def pairs(offset: int) -> np.ndarray:
+        both = rank[: len(rank) - offset] * (int(rank.max(initial=0)) + 1) + rank[offset:]
+        return np.unique(both, return_inverse=True)[1].astype(np.int64)
+
+    if len(numbers) < n:
+        return np.zeros(0, dtype=np.int64)
+    while width * 2 <= n:
+        rank, width = pairs(width), width * 2
+    return pairs(n - width) if n > width else rank
+
+
 class Shard:
-    """Segments in the order of key and id: their words as numbers, and where each begins."""
+    """Distinct segments in the order of key and id: their words as numbers (one for each different word of the shard), and where each begins."""
 
     def __init__(self, texts: list[bytes], window: int = WINDOW):
         self.window = window
-        steps = [*wh.word_steps(pa.array(texts, pa.binary()).cast(pa.string()))]
-        counts = np.concatenate([np.diff(s.first) for s in steps])
-        self.first = np.r_[0, np.cumsum(counts)]
-        self.hashes = np.concatenate([s.hashes() for s in steps])
-        self.row = np.repeat(np.arange(len(counts)), counts)
-        self.numbers = (self.hashes >> np.uint64(33)).astype(np.int64).tolist()
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        self.first = words.offsets.to_numpy().astype(np.int64)
+        self.codes = words.values.dictionary_encode().indices.to_numpy()
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(first word, words) of one occurrence of each recurring passage: windows that always stand together, joined."""
-        at = np.flatnonzero(np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes)) >= self.window)
+        at = np.flatnonzero(np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.codes)) >= self.window)
         if not len(at):
             return []
-        w = wh.windows(wh.prefix(self.hashes), self.window)[at]
-        distinct, first, inverse, count = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
+        distinct, first, inverse, count = np.unique(window_ranks(self.codes, self.window)[at], return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(inverse, kind="stable")
         ends = np.cumsum(count)
         id_of = ids[self.row[at]]
@@ -152,13 +170,14 @@ class Shard:
         found = self.passages(ids)
         if not found:
             return
+        numbers = self.codes.tolist()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, (a, n) in enumerate(found):
-            automaton.add_word(tuple(self.numbers[a : a + n]), k)
+            automaton.add_word(tuple(numbers[a : a + n]), k)
         automaton.make_automaton()
         rows, ends, which = [], [], []
         for r in range(len(ids)):
-            for end, k in automaton.iter(tuple(self.numbers[self.first[r] : self.first[r + 1]])):
+            for end, k in automaton.iter(tuple(numbers[self.first[r] : self.first[r + 1]])):
                 rows.append(r)
                 ends.append(end + 1)
                 which.append(k)
@@ -171,54 +190,51 @@ class Shard:
 
 
 def _locator(window: int):
-    """Rows come sorted by key and id."""
+    """Rows (key, id, segment, text) come sorted by key and id."""
 
-    def one(rows: dict[str, list]) -> pa.RecordBatch:
-        ids = np.array(rows["id"], dtype=np.int64)
-        found = [*Shard(rows["text"], window).covered(ids)]
-        start, end = [rows["start"][r] + a for r, a, _ in found], [rows["start"][r] + b for r, _, b in found]
-        return pa.RecordBatch.from_arrays([pa.array([rows["digest"][r] for r, _, _ in found], pa.binary()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["digest", "start", "end"])
+    def one(ids: list, names: list, texts: list) -> pa.RecordBatch:
+        found = [*Shard(texts, window).covered(np.array(ids, dtype=np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array([names[r] for r, _, _ in found], pa.binary()), pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())], ["segment", "start", "end"])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, size, last = ("id", "digest", "start", "text"), 0, None
-        held: dict[str, list] = {n: [] for n in names}
+        size, last, held = 0, None, ([], [], [])
         for batch in batches:
-            part = batch.to_pydict()
-            for i, key in enumerate(part["key"]):
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key != last and size > SHARD_BYTES:
-                    yield one(held)
-                    held, size = {n: [] for n in names}, 0
+                    yield one(*held)
+                    size, held = 0, ([], [], [])
                 last = key
-                size += len(part["text"][i])
-                for n in names:
-                    held[n].append(part[n][i])
-        if held["id"]:
-            yield one(held)
+                size += len(row[2])
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+        if held[0]:
+            yield one(*held)
 
     return locate
 
 
-def _hot_windows(window: int):
-    """(w1, w2, id, digest, start) of each window of a hot segment: two hashes of 64 bits."""
+def _windows_of(window: int):
+    """(window, id, segment, start) of each window of a distinct segment (id, segment, text): a digest of its words."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in wh.word_steps(batch.column(3).cast(pa.string())):
-                at = np.flatnonzero(step.room(window))
-                h = step.hashes()
-                w = [wh.windows(wh.prefix(h, k), window, k)[at].view(np.int64) for k in (0, 1)] if len(at) else [at, at]
+            for step in wh.word_steps(batch.column(2).cast(pa.string())):
+                raw, at = step.data.tobytes(), np.flatnonzero(step.room(window))
                 own = np.searchsorted(step.first, at, side="right") - 1
-                rows = pa.array(own + step.rows.start)
-                start = batch.column(2).take(rows).to_numpy(zero_copy_only=False) + at - step.first[own]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32))], ["w1", "w2", "id", "digest", "start"])
+                for a in range(0, len(at), 1 << 16):
+                    some = at[a : a + (1 << 16)]
+                    digests = [_short_digest(raw[x:y]) for x, y in zip(step.starts[some].tolist(), step.ends[some + window - 1].tolist(), strict=True)]
+                    rows = pa.array(own[a : a + (1 << 16)] + step.rows.start)
+                    start = some - step.first[own[a : a + (1 << 16)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32))], ["window", "id", "segment", "start"])
 
     return explode
 
 
 def _covered_hot(hot: DataFrame, window: int) -> DataFrame:
-    rows = hot.select("id", "digest", "start", "text").mapInArrow(_hot_windows(window), "w1 long, w2 long, id long, digest binary, start int")
-    least = rows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
-    return rows.join(least, ["w1", "w2"]).where("id > least").select("digest", "start", (F.col("start") + window).cast("int").alias("end"))
+    rows = hot.select("id", "segment", "text").mapInArrow(_windows_of(window), "window binary, id long, segment binary, start int")
+    least = rows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
+    return rows.join(least, "window").where("id > least").select("segment", "start", (F.col("start") + window).cast("int").alias("end"))
 
 
 def _remover(window: int, texts: bool):
@@ -262,23 +278,34 @@ def covered(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(digest, start, end): word ranges of distinct texts (digest, first_id, text) that an earlier document has too."""
     n = partitions(texts.sparkSession)
     keys = cut(texts.select("first_id", "text").mapInArrow(_keys(window), "key long, id long").distinct(), "phrase-keys")
-    recurring = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", (F.col("n") > HOT).alias("hot"))
-    own = keys.join(recurring, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.array_compact(F.collect_list(F.when(F.col("hot"), F.col("key")))).alias("hot_keys"))
-    found = texts.join(own, texts.first_id == own.id).select("first_id", "digest", "text", "keys", "hot_keys").mapInArrow(_cutter(window), _SEGMENTS)
-    found = cut(found, "phrase-segments")
-    dealt = found.where("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(_locator(window), _COVERED).unionByName(_covered_hot(found.where("hot"), window))
+    recurring = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    own = keys.join(recurring, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
+    found = texts.join(own, texts.first_id == own.id).select("first_id", "digest", "text", "keys").mapInArrow(_cutter(window), _SEGMENTS)
+    found = cut(found, "phrase-segments", keys)
+    distinct = found.groupBy("key", "segment").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("text").alias("text"))
+    distinct = cut(distinct, "phrase-distinct")
+    hot = distinct.groupBy("key").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > HOT).select("key")
+    dealt = distinct.join(hot, "key", "left_anti").select("key", "id", "segment", "text").repartition(n, "key").sortWithinPartitions("key", "id")
+    located = dealt.mapInArrow(_locator(window), _COVERED).unionByName(_covered_hot(distinct.join(hot, "key", "left_semi"), window))
+    located = located.groupBy("segment").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    plan = distinct.select("segment", F.col("id").alias("least"), "n_words").join(located, "segment", "left")
+    plan = cut(plan, "phrase-plan", distinct)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
+    rows = found.select("segment", "digest", "id", F.col("start").alias("at")).join(plan, "segment")
+    rows = rows.select("digest", "at", F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(F.col("ranges"))).alias("r"))
+    return cut(rows.select("digest", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.end")).alias("end")), "phrase-covered", found, plan)
 
 
 def passages(documents: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """One row per distinct text: digest, first_id, n_words, n_removed, kept_sha256, and with texts kept (the words left)."""
     rows = documents.select(_id().alias("id"), _text().alias("text")).withColumn("digest", _digest(F.col("text")))
     distinct = cut(rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("text").alias("text")), "phrase-texts")
-    ranges = covered(distinct, window).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("r"))
+    hits = covered(distinct, window)
+    ranges = hits.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("r"))
     ranges = ranges.select("digest", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
     schema = "digest binary, first_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     out = distinct.join(ranges, "digest", "left").mapInArrow(_remover(window, texts), schema)
-    return cut(out if texts else out.drop("kept"), "phrase-results")
+    return cut(out if texts else out.drop("kept"), "phrase-results", distinct, hits)
 
 
 def _copy(window: int) -> Column:

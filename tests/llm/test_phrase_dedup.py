@@ -62,6 +62,43 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert got == sorted(((d, n - g) for d, n, g, _ in want), key=str)
 
 
+def test_words_with_equal_hashes(spark):
+    """w92673 and w99178 share the bits of their hashes that automata once went by."""
+    rng = random.Random(7)
+    docs, words = [], [f"w{i}" for i in range(100, 900)]
+    for k, (a, b) in enumerate((("w92673", "w99178"), ("w99178", "w92673"))):
+        for at in (0, 20, 49):
+            passage = rng.sample(words, 49)
+            docs += [(10 * len(docs) + k, " ".join(passage[:at] + [x] + passage[at:])) for x in (a, b)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in p.digest(frame).collect()), key=str)
+    assert got == brute(docs) and sum(r[2] for r in got) == 0
+
+
+def test_periodic_and_common_passages(spark, monkeypatch):
+    """A text of a million words with one period, and one passage in many documents with different surroundings."""
+    period = [f"p{i}" for i in range(60)]
+    passage = [f"q{i}" for i in range(55)]
+    docs = [(1, " ".join(period * 17000)), (2, " ".join(period * 3)), (3, " ".join(period[5:] + period[:5]))]
+    docs += [(100 + i, " ".join([f"r{i}_{k}" for k in range(30)] + passage + [f"s{i}_{k}" for k in range(30)])) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for hot in (p.HOT, 20_000):
+        monkeypatch.setattr(p, "HOT", hot)
+        got = {r.doc_id: (r.n_words, r.n_removed) for r in p.digest(frame).collect()}
+        assert got[1] == (1020000, 0) and got[2] == (180, 180) and got[3] == (60, 60) and got[100] == (115, 0)
+        assert all(got[100 + i] == (115, 55) for i in range(1, 400))
+
+
+def test_window_ranks():
+    numbers = np.random.default_rng(3).integers(0, 2, 300)
+    for n in (1, 2, 3, 5, 8, 50):
+        ranks = p.window_ranks(numbers, n)
+        of = {}
+        assert len(ranks) == 301 - n
+        assert len({(of.setdefault(tuple(numbers[i : i + n]), r), r) for i, r in enumerate(ranks.tolist())}) == len(of) == len(set(ranks.tolist()))
+    assert len(p.window_ranks(numbers[:3], 4)) == 0
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert p.digest(frame).count() == 0
