@@ -3,9 +3,10 @@
 A window is WINDOW consecutive words of a benchmark item; an item of fewer words (but not none) is one window. Words
 are [0-9a-z and all non-ASCII]+ after A-Z became a-z. A document word inside any occurrence of a window is hit.
 
-The windows go to the executors as one hash set. Its size is checked first: a benchmark with more than BLOCK_BYTES of
-text is split by item into blocks that each stay below it, and the documents are scanned once per block; no window is left out. Every block
-meets the text as it came in: spans are removed together, after the last one.
+The windows go to the executors as one hash set. Its size is checked first, in bytes: distinct (window, item) rows are made and counted on the
+executors, and where they have more than BLOCK_BYTES they are dealt by hash to blocks that stay below it, however long an item is or how often
+it is repeated. Each block is then a job of its own over the input texts, which writes what it hits by the text's digest; so one set is in memory at a time.
+The blocks' hits are united by digest and applied to the input text together. No window is left out.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no window; repeated rows
 and repeated items are each judged alike; null item ids name no item but their windows count as hits; an empty
@@ -14,55 +15,78 @@ benchmark leaves every document clean; extra columns of either table are ignored
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from objekta.llm import wordhash as wh
-from objekta.llm.common import table, unused
+from objekta.llm.common import cut, table, unused
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast may hold; its hash set takes about 20 times that.
-BLOCK_BYTES = 8 << 20
+#: Bytes of (window, item) rows that one broadcast may hold; its hash set takes about 4 times that.
+BLOCK_BYTES = 32 << 20
+#: Bytes that a row counts for besides its window and item.
+ROW_BYTES = 24
 _SLOTS = 1 << 22
 
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _parts(benchmark: DataFrame) -> int:
-    total = benchmark.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return int(total // BLOCK_BYTES) + 1
+def _window_rows(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in wh.word_steps(batch.column(1), wh.ALPHANUMERIC, lower=True):
+                hashes = step.hashes()
+                for k, row in enumerate(step.rows):
+                    a, b = int(step.first[k]), int(step.first[k + 1])
+                    n = min(window, b - a)
+                    for at in range(a, b - n + 1 if n else a, 1 << 16):
+                        stop = min(b, at + (1 << 16) + n - 1)
+                        h = wh.windows(wh.prefix(hashes[at:stop]), n).view(np.int64)
+                        words = [step.text(s, s + n) for s in range(at, stop - n + 1)]
+                        item = pa.array([batch.column(0)[row].as_py()] * len(h), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, dtype=np.int32)), pa.array(h), pa.array(words, pa.binary()), item], ["n", "h", "words", "item"])
+
+    return rows
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct (n, h, words, item): each window of each item, its number of words and hash; items that are alike count once."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    return items.mapInArrow(_window_rows(window), "n int, h long, words binary, item string").distinct()
+
 
+def _blocks(rows: DataFrame) -> int:
+    size = F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + ROW_BYTES
+    return int((rows.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES) + 1
 
-def _block(benchmark: DataFrame, k: int, parts: int) -> list[tuple]:
-    """The k-th part of the benchmark's rows, about BLOCK_BYTES of text."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return [(r.item, r.text) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]
+
+def _parts(benchmark: DataFrame, window: int = WINDOW) -> int:
+    return _blocks(windows(benchmark, window))
+
+
+def _sets(rows: DataFrame) -> Iterator[WindowSet]:
+    """One block of the windows after the other."""
+    parts = _blocks(rows)
+    for k in range(parts):
+        yield WindowSet(rows.where(F.pmod(F.xxhash64("words", "item"), F.lit(parts)) == k).collect())
 
 
 class WindowSet:
-    """Hashes of all windows, and their words for the check that follows a hash hit."""
+    """Hashes of a block's windows, and their words for the check that follows a hash hit."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
+    def __init__(self, rows: Iterable[tuple]):
         self.owners: dict[bytes, set] = defaultdict(set)
         found: dict[int, set] = defaultdict(set)
-        texts = pa.array([t for _, t in items], type=pa.string())
-        for step in wh.word_steps(texts, wh.ALPHANUMERIC, lower=True):
-            h = step.hashes()
-            for k, row in enumerate(step.rows):
-                a, b = int(step.first[k]), int(step.first[k + 1])
-                n = min(window, b - a)
-                if not n:
-                    continue
-                sums = wh.prefix(h[a:b])
-                found[n].update(wh.windows(sums, n).tolist())
-                for s in range(a, b - n + 1):
-                    self.owners[step.text(s, s + n)].add(items[row][0])
+        for n, h, words, item in rows:
+            self.owners[bytes(words)].add(item)
+            found[n].add(h % (1 << 64))
         self.hashes = {n: np.sort(np.fromiter(v, dtype=np.uint64)) for n, v in found.items()}
         self.slots: dict[int, np.ndarray] = {}
 
@@ -109,42 +133,62 @@ def _found(known: WindowSet, step: wh.Words) -> dict[int, tuple[list, list, set]
     return out
 
 
-def _scanner(known: WindowSet, later: bool, more: bool):
-    """later: the rows bring what earlier blocks found; more: another block follows, which needs the text."""
+_FOUND = "hits array<struct<start:int,end:int>>, items array<string>"
+
+
+def _digest_of_text(documents: DataFrame):
+    return F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _scanner(known: WindowSet | None, hit_only: bool):
+    """Rows (key, text) give (key, n_words, hits, items); hit_only: (digest of the text, hits, items) of texts with hits alone."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, hits, items = [], [], []
-            before = batch.select(["hits", "items"]).to_pylist() if later else None
+            keys, n_words, hits, items = [], [], [], []
             for step in wh.word_steps(batch.column(1), wh.ALPHANUMERIC, lower=True):
                 sizes = np.diff(step.first).tolist()
-                found = _found(known, step)
-                n_words += sizes
-                for k, size in enumerate(sizes):
+                found = _found(known, step) if known else {}
+                for k in found if hit_only else range(len(sizes)):
                     starts, lengths, names = found.get(k, ([], [], set()))
-                    if before:
-                        old = before[step.rows[k]]
-                        starts = starts + [x["start"] for x in old["hits"]]
-                        lengths = lengths + [x["end"] - x["start"] for x in old["hits"]]
-                        names = names | set(old["items"])
-                    hits.append(_spans(np.array(starts), np.array(lengths), size) if starts else [])
+                    n_words.append(sizes[k])
+                    hits.append(_spans(np.array(starts), np.array(lengths), sizes[k]) if starts else [])
                     items.append(sorted(x for x in names if x is not None))
-            out = {"doc_id": batch.column(0)} | ({"text": batch.column(1)} if more else {})
-            out |= {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _HITS), "items": pa.array(items, pa.list_(pa.string()))}
+                    if hit_only:
+                        keys.append(hashlib.sha256((batch.column(1)[step.rows[k]].as_py() or "").encode("utf-8", "surrogatepass")).digest())
+            out = {"digest": pa.array(keys, pa.binary())} if hit_only else {batch.schema.names[0]: batch.column(0), "n_words": pa.array(n_words, pa.int64())}
+            out |= {"hits": pa.array(hits, _HITS), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([*out.values()], [*out])
 
     return scan
 
 
+def _hits_by_digest(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(digest, hits, items) of the texts that hold a window of any block: a job for each block, so that memory does not grow with their number. Hits may overlap."""
+    texts = documents.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"))
+    found = [cut(texts.mapInArrow(_scanner(known, True), "digest binary, " + _FOUND).dropDuplicates(["digest"]), "benchmark-hits") for known in _sets(rows)]
+    every = reduce(DataFrame.unionAll, found).groupBy("digest")
+    return cut(every.agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "benchmark-hits", *found)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [_spans(np.array([x["start"] for x in h]), np.array([x["end"] - x["start"] for x in h]), n) if h else [] for h, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, _HITS), batch.column(3)], ["doc_id", "n_words", "hits", "items"])
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document: doc_id, n_words, hits (word ranges), items (their ids as strings, sorted)."""
-    out = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = _parts(benchmark)
-    for k in range(parts):
-        more = k < parts - 1
-        found = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
-        out = out.mapInArrow(_scanner(WindowSet(_block(benchmark, k, parts), window), k > 0, more), "doc_id long, " + "text string, " * more + found)
-    return out
+    rows = cut(windows(benchmark, window), "benchmark-windows")
+    schema = f"doc_id long, n_words long, {_FOUND}"
+    if _blocks(rows) == 1:
+        [known] = _sets(rows)
+        return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scanner(known, False), schema)
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), _digest_of_text(documents).alias("digest")).alias("key")
+    sizes = documents.select(key, F.col("text").cast("string")).mapInArrow(_scanner(None, False), f"key struct<doc_id:long,digest:binary>, n_words long, {_FOUND}")
+    merged = _hits_by_digest(documents, rows)
+    joined = sizes.select("key.*", "n_words").join(merged, "digest", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array()).alias("items")).mapInArrow(_united, schema)
 
 
 def _cleaner(known: WindowSet, at: int):
@@ -160,40 +204,30 @@ def _cleaner(known: WindowSet, at: int):
     return clean
 
 
-def _cutter(known: WindowSet, at: int, hits_name: str, later: bool, more: bool):
-    """Drops the hit words (with what stands between them) from their text.
-
-    later: the last column brings what earlier blocks found; more: another block follows, so the hits are passed on and the text is left as it is.
-    """
+def _cutter(known: WindowSet | None, at: int):
+    """Drops the hit words (with what stands between them) from their text. Without a set the last column brings the hits."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = batch.columns[-1].to_pylist() if later else None
-            columns, names = (batch.columns[:-1], batch.schema.names[:-1]) if later else (batch.columns, batch.schema.names)
-            hits, texts = [[] for _ in range(batch.num_rows)], {}
+            brought = None if known else batch.columns[-1].to_pylist()
+            columns, names = (batch.columns, batch.schema.names) if known else (batch.columns[:-1], batch.schema.names[:-1])
+            texts = {}
             for step in wh.word_steps(batch.column(at), wh.ALPHANUMERIC, lower=True):
-                found = _found(known, step)
-                for k in range(len(step.first) - 1) if later else found:
+                if known:
+                    found = {k: (starts, lengths) for k, (starts, lengths, _) in _found(known, step).items()}
+                else:
+                    found = {k: ([x["start"] for x in h], [x["end"] - x["start"] for x in h]) for k, row in enumerate(step.rows) if (h := brought[row])}
+                for k, (starts, lengths) in found.items():
                     row, a, size = step.rows[k], int(step.first[k]), int(step.first[k + 1] - step.first[k])
-                    starts, lengths, _ = found.get(k, ([], [], set()))
-                    old = before[row] if later else []
-                    starts = starts + [x["start"] for x in old]
-                    if not starts:
-                        continue
-                    hits[row] = _spans(np.array(starts), np.array(lengths + [x["end"] - x["start"] for x in old]), size)
-                    if more:
-                        continue
                     raw, base = batch.column(at)[row].as_py().encode(), int(step.bounds[k])
                     pieces, last = [], 0
-                    for span in hits[row]:
+                    for span in _spans(np.array(starts), np.array(lengths), size):
                         pieces.append(raw[last : int(step.starts[a + span["start"]]) - base])
                         last = int(step.ends[a + span["end"] - 1]) - base
                     texts[row] = b"".join([*pieces, raw[last:]]).decode()
             if texts:
                 changed = pa.array([texts.get(i, v) for i, v in enumerate(batch.column(at).to_pylist())], batch.schema.field(at).type)
                 columns = [changed if i == at else c for i, c in enumerate(columns)]
-            if more:
-                columns, names = [*columns, pa.array(hits, _HITS)], [*names, hits_name]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return clean
@@ -204,15 +238,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")
     at, schema = documents.columns.index("text"), documents.schema
-    hits = StructField(unused(documents, "hits"), ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
-    parts = _parts(benchmark)
-    for k in range(parts):
-        known, more = WindowSet(_block(benchmark, k, parts), window), k < parts - 1
-        if remove == "documents":
-            documents = documents.mapInArrow(_cleaner(known, at), schema)
-        else:
-            documents = documents.mapInArrow(_cutter(known, at, hits.name, k > 0, more), StructType([*schema, hits]) if more else schema)
-    return documents
+    rows = cut(windows(benchmark, window), "benchmark-windows")
+    if _blocks(rows) == 1:
+        [known] = _sets(rows)
+        return documents.mapInArrow((_cleaner if remove == "documents" else _cutter)(known, at), schema)
+    name = unused(documents, "hits_of_digest")
+    merged = _hits_by_digest(documents, rows).select(F.struct("digest", "hits").alias(name))
+    same = _digest_of_text(documents) == F.col(f"{name}.digest")
+    if remove == "documents":
+        return documents.join(merged, same, "left_anti")
+    joined = documents.join(merged, same, "left").select(*[F.col(f"`{c}`") for c in documents.columns], F.col(f"{name}.hits").alias(name))
+    return joined.mapInArrow(_cutter(None, at), schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

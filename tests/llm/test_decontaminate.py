@@ -66,6 +66,22 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert key(got) == key(brute(docs, items))
 
 
+def test_items_above_a_block_and_repeated_items(spark, monkeypatch):
+    """One item fills many blocks by itself, equal items count once, and no set is larger than a block."""
+    rng = random.Random(5)
+    long = " ".join(f"v{rng.randrange(500)}" for _ in range(600))
+    items = [(1, long), (2, "one two three"), (3, " ".join(f"u{i}" for i in range(12)))] + [(4, "same words again and again")] * 300
+    docs = [(i, " ".join(long.split()[7 * i : 7 * i + rng.randrange(8, 14)])) for i in range(80)] + [(100, "x one two three y"), (101, "Same words, again and AGAIN!"), (102, None), (103, "clean")]
+    d, b = frames(spark, docs, items)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 4000)
+    sizes = [sum(len(w) + dc.ROW_BYTES + len(o) for w, o in known.owners.items()) for known in dc._sets(dc.windows(b))]
+    assert len(sizes) > 10 and max(sizes) < 2 * 4000
+    got = [tuple(r)[:6] for r in dc.digest(dc.scan(d, b)).collect()]
+    assert key(got) == key(brute(docs, items))
+    bad = {r[0] for r in brute(docs, items) if r[5]}
+    assert sorted(r.doc_id for r in dc.decontaminate(d, b).collect()) == sorted(x for x, _ in docs if x not in bad)
+
+
 def test_empty_tables(spark):
     docs, items = cases()
     d, b = frames(spark, docs, items)
