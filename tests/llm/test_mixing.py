@@ -73,6 +73,44 @@ def test_inclusion_follows_the_weight(spark):
     assert 1990 <= n[0] + n[1] <= 2010 and n[0] > 1.6 * n[1]
 
 
+def test_inclusion_rates_are_the_stated_probabilities(spark):
+    """A document's rate is p = min(1, k w), with w the whole square root of its size; what is certain is always in."""
+    docs = [(i, " ".join(["w"] * n), "a") for i, n in enumerate([4] * 4000 + [25] * 2000 + [100] * 400 + [40000] * 2)] + [(10000 + i, "w " * 40, "b") for i in range(2800)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sizes = {d: len(t.split()) for d, t, s in docs if s == "a"}
+    times = Counter()
+    for seed in ("one", "two"):
+        rows = mixing.mix(frame, seed=seed).where("source = 'a'").collect()
+        whole = int(rows[0].target // rows[0].source_size)
+        rest = rows[0].target - whole * rows[0].source_size
+        times.update({r.doc_id: r.copies - whole for r in rows})
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 100
+    low, high = 0.0, 10.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1.0, mid * int(n**0.5)) * n for n in sizes.values()) < rest else (low, mid)
+    for size in (4, 25, 100, 40000):
+        own = [times[d] / 2 for d, n in sizes.items() if n == size]
+        want = min(1.0, low * int(size**0.5))
+        assert sum(own) / len(own) == pytest.approx(want, abs=0.02 if size < 100 else 0.06), size
+    assert low * 200 > 1 and 0.02 < low * 2 < low * 10 < 1
+
+
+def test_certain_documents_and_many_sources(spark, monkeypatch):
+    """Weights that make some documents certain; and the same mix when the plan is too large to broadcast."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, "w " * 10, "s" if i < 400 else "t") for i in range(800)], "doc_id long, text string, source string")
+    heavy = F.when(F.col("doc_id") % 8 == 0, 1000.0).when(F.col("doc_id") % 8 == 1, None).when(F.col("doc_id") % 8 == 2, -3.0).otherwise(1.0)
+    rows = mixing.mix(frame, weights=(1, 3), weight=heavy).where("source = 's'").collect()
+    assert sum(r.copies for r in rows) == 200 and all(r.copies == 1 for r in rows if r.doc_id % 8 == 0) and not any(r.copies for r in rows if r.doc_id % 8 in (1, 2))
+    docs = docs_of(random.Random(6)) + [(5000 + i, "a b c", f"host {i}") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    one = Counter(map(tuple, mixing.mix(frame).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, mixing.mix(frame).collect())) == one
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(frame).count() == 0 and mixing.apply_mix(frame).count() == 0
