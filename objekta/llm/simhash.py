@@ -13,6 +13,10 @@ after one shuffle; chains of three and four segments prune them before the full
 Only distinct fingerprints are filed, so exact copies of a text meet once. A partition passes on just the links that
 join two of its sets (a spanning forest), so a group of near copies gives as many rows as it has fingerprints, not pairs.
 
+A key with over LARGE rows is never held: its rows are linked to its smallest fingerprint as they pass, and go on. After a first union-find only
+those keys are left whose rows are still in several components; they are compared completely, in pairs of blocks of LARGE rows that any task
+can take, between components. So a dense group of near copies costs its rows, and unrelated fingerprints under one key their pairs.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; rows with a null doc_id are linked but
 never name a component (null if it has no other); rows that repeat a doc_id are judged by their own texts; an empty table gives no
 rows; extra columns are ignored (components) or kept (deduplicate).
@@ -41,6 +45,10 @@ _STARTS = tuple(int(x) for x in np.cumsum((0, *SEGMENTS)))
 _MASKS = tuple(((1 << w) - 1) << s for w, s in zip(SEGMENTS, _STARTS, strict=False))
 #: Groups of up to this many rows are paired by shifting the sorted column, larger ones row by row.
 SMALL_GROUP = 64
+#: Rows of one key that a task holds.
+LARGE = 4096
+#: Fingerprints whose sets a task remembers in order to pass on no link twice.
+REMEMBERED = 500_000
 
 
 def _fingerprint(h: np.ndarray) -> int:
@@ -127,21 +135,36 @@ class _Forest:
         return x
 
     def join(self, a: int, b: int) -> bool:
+        if len(self.up) > REMEMBERED:
+            self.up = {}
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
         return a != b
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (start, key). Passes on a spanning forest of the links among rows of one key."""
-    forest, held = _Forest(), None
+def _pairs(own: np.ndarray, base: np.ndarray, start: int, sets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links among fingerprints of one key, enough to join its sets (numbers, changed here) that are near; one of each pair has no bit set for it."""
+    for k in np.flatnonzero(base).tolist():
+        good = np.flatnonzero((sets != sets[k]) & _near(own[k], own, np.full(len(own), start)))
+        if len(good):
+            merged = np.unique(sets[good])
+            for x in {int(sets[x]): int(x) for x in good[::-1].tolist()}.values():
+                yield int(own[k]), int(own[x])
+            sets[np.isin(sets, merged)] = sets[k]
+
+
+def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    none = pa.nulls(len(pairs), pa.int64())
+    ends = [pa.array(np.array([p[k] for p in pairs], dtype=np.uint64).view(np.int64)) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([none.cast(pa.int8()), none, *ends, none.cast(pa.bool_())], ["start", "key", "a", "b", "base"])
+
+
+def _linker(large: int):
+    """Rows (start, key, fp, base) come sorted by (start, key, fp). Gives (start, key, a, b, base): links a, b, and the rows of keys with over large rows (b null)."""
 
-    def groups(i, key, fp, base):
+    def groups(forest, i, key, fp, base, bounds) -> list[tuple[int, int]]:
         out = []
-        if len(key) < 2:
-            return out
-        bounds = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]), True])
         sizes = np.diff(bounds)
         small = np.repeat(sizes <= SMALL_GROUP, sizes)
         for o in range(1, min(SMALL_GROUP, int(sizes.max(initial=1)))):
@@ -151,44 +174,93 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += [(a, b) for a, b in zip(fp[good].tolist(), fp[good + o].tolist(), strict=True) if a != b and forest.join(a, b)]
         for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
             a, b = int(bounds[g]), int(bounds[g + 1])
-            own, start = fp[a:b], int(i[a])
-            sets = np.arange(b - a)
-            for k in np.flatnonzero(base[a:b]).tolist():
-                other = sets != sets[k]
-                good = np.flatnonzero(other & _near(own[k], own, np.full(b - a, start)))
-                if len(good):
-                    merged = np.unique(sets[good])
-                    first = {int(sets[x]): int(x) for x in good[::-1].tolist()}
-                    out += [(int(own[k]), int(own[x])) for x in first.values() if own[k] != own[x] and forest.join(int(own[k]), int(own[x]))]
-                    sets[np.isin(sets, merged)] = sets[k]
+            own = fp[a:b]
+            out += [(x, y) for x, y in _pairs(own, base[a:b], int(i[a]), np.unique(own, return_inverse=True)[1]) if forest.join(x, y)]
         return out
 
-    def batch_of(pairs):
-        a = np.array([p[0] for p in pairs], dtype=np.uint64).view(np.int64)
-        b = np.array([p[1] for p in pairs], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def passed_on(forest, center, i, key, fp, base) -> Iterator[pa.RecordBatch]:
+        near = np.flatnonzero((fp != center) & (np.bitwise_count(fp ^ center) <= LIMIT))
+        if pairs := [(int(center), x) for x in fp[near].tolist() if forest.join(int(center), x)]:
+            yield _link_batch(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(base)], ["start", "key", "a", "b", "base"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held, hot = _Forest(), None, None
+        for batch in batches:
+            part = [batch.column("start").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp")), batch.column("base").to_numpy(zero_copy_only=False)]
+            if hot is not None:
+                other = np.flatnonzero((part[0] != hot[0]) | (part[1] != hot[1]))
+                n = int(other[0]) if len(other) else len(part[0])
+                if n:
+                    yield from passed_on(forest, hot[2], *(x[:n] for x in part))
+                    part = [x[n:] for x in part]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            i, key, fp, base = part
+            if not len(key):
+                continue
+            held = hot = None
+            bounds = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]), True])
+            wide = np.flatnonzero(np.diff(bounds) > large)
+            for g in wide.tolist():
+                yield from passed_on(forest, fp[bounds[g]], *(x[bounds[g] : bounds[g + 1]] for x in part))
+            last = int(bounds[-2])
+            if len(wide) and wide[-1] == len(bounds) - 2:
+                hot = (i[last], key[last], fp[last])
+            else:
+                held = [x[last:] for x in part]
+            keep = np.repeat(np.diff(bounds) <= large, np.diff(bounds))
+            keep[last:] = False
+            rest = [x[keep] for x in part]
+            if len(rest[0]):
+                own = np.flatnonzero(np.r_[True, (rest[1][1:] != rest[1][:-1]) | (rest[0][1:] != rest[0][:-1]), True])
+                if pairs := groups(forest, *rest, own):
+                    yield _link_batch(pairs)
+        if held is not None and (pairs := groups(forest, *held, np.array([0, len(held[0])]))):
+            yield _link_batch(pairs)
+
+    return run
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (start, key, low, high, fp, component, base) come sorted by the first four: two blocks at most."""
+    place, held = None, []
+    names = ["a", "b"]
+
+    def links() -> pa.RecordBatch:
+        fp, component, base = (np.array(c) for c in zip(*held, strict=True))
+        pairs = [*_pairs(fp.astype(np.int64).view(np.uint64), base.astype(bool), place[0], np.unique(component, return_inverse=True)[1])]
+        return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in pairs], dtype=np.uint64).view(np.int64)) for k in (0, 1)], names)
 
     for batch in batches:
-        part = [batch.column("start").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp")), batch.column("base").to_numpy(zero_copy_only=False)]
-        if held is not None:
-            part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-        i, key, fp, base = part
-        if not len(key):
-            continue
-        last = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1])])[-1])
-        held = [x[last:] for x in part]
-        if pairs := groups(*(x[:last] for x in part)):
-            yield batch_of(pairs)
-    if held is not None and (pairs := groups(*held)):
-        yield batch_of(pairs)
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of a column fp, enough of them to connect all that are near."""
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:4] != place:
+                if len(held) > 1:
+                    yield links()
+                place, held = row[:4], []
+            held.append(row[4:])
+    if len(held) > 1:
+        yield links()
+
+
+def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of a column fp, enough of them to connect all that are near. A result of cut()."""
     n = partitions(distinct.sparkSession)
     filed = distinct.select("fp").mapInArrow(_file, "start byte, key long, fp long, base boolean")
-    dealt = filed.repartition(n, "start", "key").sortWithinPartitions("start", "key")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    dealt = filed.repartition(n, "start", "key").sortWithinPartitions("start", "key", "fp")
+    out = cut(dealt.mapInArrow(_linker(large), "start byte, key long, a long, b long, base boolean"), "simhash-links")
+    found = out.where("start is null").select("a", "b").distinct()
+    passed = out.where("start is not null").select("start", "key", F.col("a").alias("fp"), "base")
+    if passed.isEmpty():
+        return found
+    sets = connected_components(found)
+    named = passed.join(sets, passed.fp == sets.node, "left").select("start", "key", "fp", "base", F.coalesce("component", "fp").alias("component"))
+    split = named.groupBy("start", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    rest = named.join(split.select("start", "key", F.ceil(F.col("n") / large).cast("int").alias("blocks")), ["start", "key"])
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("start", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "component", "base")
+    more = rest.repartition(n, "start", "key", "low", "high").sortWithinPartitions("start", "key", "low", "high").mapInArrow(_block_links, "a long, b long")
+    return cut(found.unionByName(more.distinct()), "simhash-links", sets, out)
 
 
 def _linked(prints: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from objekta.llm import simhash
@@ -92,7 +93,12 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
         values.add(one)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long").repartition(5)).collect()
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(5)
+    for large in (simhash.LARGE, 70, 7, 1):
+        check_links(values, signed, simhash.links(frame, large).collect())
+
+
+def check_links(values, signed, got):
     place = {v: i for i, v in enumerate(signed)}
     assert all((r.a ^ r.b).bit_count() <= 4 or bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 4 for r in got)
     same = union(len(values), [(place[r.a], place[r.b]) for r in got])
@@ -100,6 +106,33 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
     assert len(set(zip(same, want, strict=True))) == len(set(want)) == len(set(same))
 
 
+def test_keys_over_batches():
+    """Whatever a batch ends with, and whether a key is held or passed on: all rows of large keys come out once, and links connect what is near."""
+    rng = random.Random(9)
+    rows = []
+    for key in range(12):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            rows.append((1, key, centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)), True))
+    rows = sorted(set(rows))
+    for size in (1, 2, 3, 10, 1000):
+        for large in (1, 4, 100):
+            batches = []
+            for a in range(0, len(rows), size):
+                start, key, fp, base = zip(*rows[a : a + size], strict=True)
+                batches.append(pa.RecordBatch.from_arrays([pa.array(start, pa.int8()), pa.array(key, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(base)], ["start", "key", "fp", "base"]))
+            out = [r for b in simhash._linker(large)(iter(batches)) for r in b.to_pylist()]
+            sizes = {k: sum(r[1] == k for r in rows) for k in range(12)}
+            passed = sorted((r["key"], r["a"] % 2**64) for r in out if r["start"] is not None)
+            assert passed == sorted((k, f) for _, k, f, _ in rows if sizes[k] > large)
+            small = [r for r in rows if sizes[r[1]] <= large]
+            place = {r[2]: i for i, r in enumerate(small)}
+            same = union(len(small), [(place[r["a"] % 2**64], place[r["b"] % 2**64]) for r in out if r["start"] is None and r["a"] % 2**64 in place and r["b"] % 2**64 in place])
+            if large == 100:
+                want = union(len(small), [(i, j) for i in range(len(small)) for j in range(i) if small[i][1] == small[j][1] and bool(simhash._near(np.array([small[i][2]], dtype=np.uint64), np.array([small[j][2]], dtype=np.uint64), np.array([1]))[0])])
+                assert len(set(zip(same, want, strict=True))) == len(set(want)) == len(set(same))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(50)] + [(5000, 5000), (None, 3), (1001, 1049)]
