@@ -11,7 +11,7 @@ rows leave and the next rule is learned. The list becomes an ordered CASE expres
 no rule keeps.
 
 Defined cases: null and empty texts have no words and fail; labels that are null or name no document are unused; a
-document with two labels counts twice in learning; without bad labels the list is empty and the base limits decide;
+document with two labels counts twice in learning, and so does each document of an id that several have (FIT_ROWS rows in all); without bad labels the list is empty and the base limits decide;
 repeated rows are judged alike; an empty table gives no rows; extra columns are ignored (statistics) or kept (filter_quality).
 """
 
@@ -195,7 +195,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[R
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most rows ids, so the broadcast is bounded by the parameter.
     found = statistics(docs.join(F.broadcast(some), "doc_id"), "doc_id", "bad").where(~base_failed())
-    return learn([r.asDict() for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").collect()])
+    # Documents that share an id would make more rows than labels: the limit holds for these rows, too.
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "bad", *FEATURES).limit(rows)
+    return learn([r.asDict() for r in found.collect()])
 
 
 def judge(documents: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
