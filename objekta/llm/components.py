@@ -26,7 +26,7 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b); component is the smallest node of its component.
+    """(node, component) for every node of the edges (a, b), a result of cut(); component is the smallest node of its component.
 
     Self loops, repeated edges and either direction are fine; edges with a null end are ignored; no edges, no rows.
     """
@@ -36,8 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark or not now[0]:
             break
-        mark, pairs = now, cut(_star(pairs), "components")
+        mark, pairs = now, cut(_star(pairs), "components", pairs)
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return cut(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components", pairs)

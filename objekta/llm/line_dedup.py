@@ -5,12 +5,14 @@ Two lines are near if the sets of their SHINGLE-character shingles (a shorter li
 SIMILARITY or more; components are taken over near and equal lines of all documents. The first line of each component stays:
 that of the smallest doc_id, then the first in its text.
 
-1. Equal lines are met once: (ref, check), 128 bits of hash, with the smallest id; sums on the map side.
+1. Equal lines are met once, by 128 bits of hash (high, low), with the smallest id: first in each batch of documents, then in a shuffle.
+   Each different line then has a number of its own (ref), so that from here on no two are ever taken for one.
 2. MinHash signatures of BANDS x ROWS values; each band is a key of 8 bytes. At a similarity of 0.8 a pair shares a band
    with odds of 1 - (1 - 0.8^4)^14 = 0.9994. Only (band, ref) is shuffled; bands with two lines or more are kept.
 3. Each line is compared with the smallest ref of its bands (a star, salted where it has over STAR lines), by exact Jaccard
    similarity, and a distributed union-find follows. Lines of a band that are then still in two components are
    compared completely, in blocks of BLOCK lines, so that no link within a band is missed. The union-find is repeated where that found any.
+   Tables are deleted once their successors are written.
 4. Only lines that repeat or are linked travel back, as a list of verdicts for each document.
 
 Defined cases: null and empty texts have no lines; a null doc_id counts as larger than any other; rows that repeat a doc_id
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objekta.llm.common import cut, partitions, solid, table, unused
+from objekta.llm.common import cut, partitions, remove, solid, table, unused
 from objekta.llm.components import connected_components
 from objekta.llm.wordhash import mix
 
@@ -89,31 +91,32 @@ def _ref(line: str) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def _lines(texts: bool):
-    """Rows (ref, check, id, n, line) with texts, else (ref, check, doc): each different line of a document once."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, refs, checks, counts, out = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own: dict[str, int] = {}
-                for _, line in _split(text):
-                    if line:
-                        own[line] = own.get(line, 0) + 1
-                for line, n in own.items():
-                    a, b = _ref(line)
-                    ids.append(doc)
-                    refs.append(a)
-                    checks.append(b)
-                    if texts:
-                        counts.append(n)
-                        out.append(line)
-            columns = {"ref": pa.array(refs, pa.int64()), "check": pa.array(checks, pa.int64()), "id": pa.array(ids, pa.int64())}
-            if texts:
-                columns |= {"n": pa.array(counts, pa.int64()), "line": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
-
-    return lines
+def _rows_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (high, low, id, n, line) of each different line of a batch of (id, text): its smallest id and how often it stands there."""
+    for batch in batches:
+        own: dict[str, list] = {}
+        for doc, text in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
+            for _, line in _split(text):
+                if line:
+                    known = own.get(line)
+                    if known is None:
+                        own[line] = [doc, 1]
+                    else:
+                        known[0], known[1] = min(doc, known[0]), known[1] + 1
+        refs = [_ref(line) for line in own]
+        columns = {"high": [r for r, _ in refs], "low": [r for _, r in refs], "id": [d for d, _ in own.values()], "n": [n for _, n in own.values()]}
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns.values()), pa.array([*own], pa.string())], [*columns, "line"])
+
+
+def _lines_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (high, low, doc) of each different line of each (doc, text)."""
+    for batch in batches:
+        docs, refs = [], []
+        for doc, text in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
+            own = {line for _, line in _split(text) if line}
+            refs += [_ref(line) for line in own]
+            docs += [doc] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([r for r, _ in refs], [r for _, r in refs], docs)], ["high", "low", "doc"])
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -266,13 +269,13 @@ def _likely(lines: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def line_links(lines: DataFrame) -> DataFrame:
-    """(node, component) of the lines (ref, line) that are near others."""
+    """(node, component) of the lines (ref, line) that are near others, a result of cut()."""
     n = partitions(lines.sparkSession)
     bands = lines.select("ref", "line").mapInArrow(_bands, "band long, ref long")
     dealt = bands.repartition(n, "band").sortWithinPartitions("band", "ref")
     members = cut(dealt.mapInArrow(_members, "band long, center long, ref long"), "line-bands")
     refs = members.select("ref").distinct()
-    texts = cut(_likely(lines.select("ref", "line"), refs).join(refs, "ref", "left_semi").dropDuplicates(["ref"]), "line-texts")
+    texts = cut(_likely(lines.select("ref", "line"), refs).join(refs, "ref", "left_semi"), "line-texts")
 
     stars = members.where("ref != center").select("center", "ref").distinct()
     sizes = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
@@ -280,7 +283,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     rows = rows.unionByName(sizes.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("center").alias("ref")))
     rows = rows.join(texts, "ref").select("center", "salt", "member", "ref", "line").repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "member")
     links = cut(rows.mapInArrow(_verify_stars, "a long, b long"), "line-links")
-    found = cut(connected_components(links), "line-components")
+    found = connected_components(links)
 
     # Centers have met all lines of their bands; the others of a band meet each other if they are still apart, once for each set of them.
     named = members.where("ref != center").select("band", "ref").join(found, members.ref == found.node, "left").select("band", "ref", F.coalesce("component", "ref").alias("component"))
@@ -290,26 +293,32 @@ def line_links(lines: DataFrame) -> DataFrame:
     rest = named.join(split, "band").withColumn("block", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ref", "component").join(texts, "ref")
     rest = rest.select("band", "low", "high", "ref", "component", "line").repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high")
-    more = cut(rest.mapInArrow(_verify_blocks, "a long, b long"), "line-links")
+    more = cut(rest.mapInArrow(_verify_blocks, "a long, b long"), "line-links", members, texts, links)
     if more.isEmpty():
+        remove(more)
         return found
-    return connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    last = connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    remove(more, found)
+    return last
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
-    """(ref, check, component, first_id) of every line that repeats or is near another."""
-    rows = documents.select(_id().alias("id"), _text().alias("text")).mapInArrow(_lines(True), "ref long, check long, id long, n long, line string")
-    lines = cut(rows.groupBy("ref", "check").agg(F.min("id").alias("first_id"), F.sum("n").alias("n"), F.first("line").alias("line")), "lines")
+    """(high, low, component, first_id) of every line that repeats or is near another."""
+    rows = documents.select(_id().alias("id"), _text().alias("text")).mapInArrow(_rows_of_lines, "high long, low long, id long, n long, line string")
+    # Dealt before they are summed: they are sorted once, and what repeats within a batch is summed already.
+    dealt = rows.repartition(partitions(documents.sparkSession), "high", "low")
+    lines = dealt.groupBy("high", "low").agg(F.min("id").alias("first_id"), F.sum("n").alias("n"), F.first("line").alias("line"))
+    lines = cut(lines.withColumn("ref", F.monotonically_increasing_id()), "lines")
     found = line_links(lines)
-    each = lines.join(found, lines.ref == found.node, "left").where("n > 1 or component is not null").select("ref", "check", "first_id", F.coalesce("component", "ref").alias("component"))
-    each = cut(each, "line-each")
+    each = lines.join(found, lines.ref == found.node, "left").where("n > 1 or component is not null").select("high", "low", "first_id", F.coalesce("component", "ref").alias("component"))
+    each = cut(each, "line-each", lines, found)
     first = each.groupBy("component").agg(F.min("first_id").alias("first_id"))
-    return cut(each.drop("first_id").join(first, "component").select("ref", "check", "component", "first_id"), "line-verdicts")
+    return cut(each.drop("first_id").join(first, "component").select("high", "low", "component", "first_id"), "line-verdicts", each)
 
 
 def _keep(doc: int, text: str | None, known: list[dict]) -> tuple[list[str], int, int]:
     """The lines left as written, how many there were and how many went."""
-    by = {(x["ref"], x["check"]): (x["component"], x["first_id"]) for x in known}
+    by = {(x["high"], x["low"]): (x["component"], x["first_id"]) for x in known}
     out, n, gone, seen = [], 0, 0, set()
     for raw, line in _split(text):
         if line:
@@ -324,14 +333,14 @@ def _keep(doc: int, text: str | None, known: list[dict]) -> tuple[list[str], int
     return out, n, gone
 
 
-_KNOWN = "array<struct<ref:bigint,check:bigint,component:bigint,first_id:bigint>>"
+_KNOWN = "array<struct<high:bigint,low:bigint,component:bigint,first_id:bigint>>"
 
 
 def _judged(documents: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a column (its name comes too) that holds id and verdicts of their lines."""
     key = F.xxhash64(_id(), _text())
-    rows = documents.select(key.alias("doc"), _text().alias("text")).mapInArrow(_lines(False), "ref long, check long, id long").withColumnRenamed("id", "doc")
-    known = rows.join(verdicts(documents), ["ref", "check"]).groupBy("doc").agg(F.collect_set(F.struct("ref", "check", "component", "first_id")).alias("known"))
+    rows = documents.select(key.alias("doc"), _text().alias("text")).mapInArrow(_lines_of_rows, "high long, low long, doc long")
+    known = rows.join(verdicts(documents), ["high", "low"]).groupBy("doc").agg(F.collect_set(F.struct("high", "low", "component", "first_id")).alias("known"))
     name = unused(documents, "line_verdicts")
     known = known.select(F.struct("doc", "known").alias(name))
     return documents.join(known, key == F.col(f"{name}.doc"), "left"), name

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
@@ -91,6 +92,45 @@ def test_against_brute_force(spark, monkeypatch, star, block):
     assert Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in left.collect()) == Counter((r[0], r[3]) for r in want.elements())
 
 
+def test_lines_whose_hashes_share_a_half(spark, monkeypatch):
+    """Lines are told apart by all 128 bits, also within bands, stars and components."""
+    real = ld._ref
+
+    def forced(rows, half):
+        def run(batches):
+            monkeypatch.setattr(ld, "_ref", lambda line: (7, real(line)[1]) if half == 0 else (real(line)[0], 7))
+            try:
+                yield from rows(batches)
+            finally:
+                monkeypatch.setattr(ld, "_ref", real)
+
+        return run
+
+    docs = corpus(8)[:60]
+    texts = pa.RecordBatch.from_arrays([pa.array([ld.NO_ID if d is None else d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())], ["id", "text"])
+    for half in (0, 1):
+        [batch] = forced(ld._rows_of_lines, half)(iter([texts]))
+        lines = {x.strip(OUTER) for _, t in docs for x in t.split("\n") if x.strip(OUTER)}
+        assert sorted(batch.column("line").to_pylist()) == sorted(lines) and len({(a, b) for a, b in zip(*[batch.column(k).to_pylist() for k in (0, 1)], strict=True)}) == len(lines)
+        frame = spark.createDataFrame(batch.to_pandas()).selectExpr("high", "low", "line", "monotonically_increasing_id() ref")
+        found = ld.line_links(ld.cut(frame, "test-lines"))
+        assert found.groupBy("node").count().where("count > 1").count() == 0
+        named = frame.count() and {r.line: r.component for r in frame.join(found, frame.ref == found.node).select("line", "component").collect()}
+        want = components(sorted(lines))
+        groups = Counter(want[x] for x in lines)
+        assert {x for x in lines if groups[want[x]] > 1} == set(named)
+        assert len({(want[x], named[x]) for x in named}) == len({want[x] for x in named}) == len(set(named.values()))
+
+
+def test_spent_tables_are_deleted(spark):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    tables = lambda: {x.name for x in folder.iterdir()}
+    before, docs = tables(), corpus(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ld.digest(frame).collect()) == brute(docs)
+    assert len(tables() - before) == 1
+
+
 def test_empty(spark):
     assert ld.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
