@@ -40,7 +40,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Pieces that a worker remembers; when there are more, those of the last step stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together (one longer text is a step of its own).
 STEP_BYTES = 4 << 20
 #: Marks that the pre-tokenizer parts from letters before them, whatever follows (not ' < > |, which may begin something longer).
