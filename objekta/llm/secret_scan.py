@@ -30,6 +30,8 @@ from objekta.llm.common import table
 #: Strings that one step of the derivation enumerates at most; beyond that it asks for less, never for more.
 MOST_STRINGS = 16
 _CHARACTERS = 8
+#: Matches whose places are summed up at a time.
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -147,14 +149,23 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return found.select("key", F.array_compact(F.array(*rules)).alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """array<struct<start, order, end, kind>> of the rule's matches that are long enough."""
+    """array<struct<start, order, end, kind>> of the rule's matches that are long enough.
+
+    Starts are running sums, which DataFrame functions only have as arrays that grow by copies: so first over sums of CHUNK matches, then within each chunk.
+    """
     pattern = F.lit(rule.pattern)
     gaps, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     own = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     lengths = F.zip_with(gaps, matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len")))
     lengths = F.zip_with(lengths, own, lambda x, y: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), F.length(y).alias("own")))
     kind = "array<struct<start:int,order:int,end:int,kind:string>>"
+    whole = lambda x: x["gap"] + F.coalesce(x["len"], F.lit(0))
 
     def add(acc, x):
         start = acc["at"] + x["gap"]
@@ -162,7 +173,16 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(kind)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+    def within(chunk, at):
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+
+    def starts(chunks):
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        after = lambda acc, chunk: acc["at"] + F.aggregate(chunk, F.lit(0), lambda n, x: n + whole(x))
+        return F.aggregate(chunks, nothing, lambda acc, chunk: F.struct(after(acc, chunk).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    split = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda k: F.slice(a, k * CHUNK + 1, CHUNK))
+    return _let(lengths, lambda a: _let(split(a), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), within))))
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

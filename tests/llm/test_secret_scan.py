@@ -36,6 +36,14 @@ def test_trigram_queries():
                     assert any(all(g in m[0].lower() for g in a) for a in q[r.kind])
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a chunk has, at its edges too."""
+    texts = [" ".join(f"{i:016x}" if i % 3 else "no" for i in range(n)) for n in (s.CHUNK, s.CHUNK + 1, 2 * s.CHUNK, 30000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in s.scan(frame).collect():
+        assert [(x.start, x.order, x.kind, x.end) for x in r.spans] == base(texts[r.doc_id])
+
+
 def test_spans_against_plain_search(spark):
     docs = [(i, t, "k") for i, t in enumerate(texts())] + [(None, "token=abcdefghijklmnop", "k"), (3, "token=abcdefghijklmnop", "k"), (3, "token=abcdefghijklmnop", "k")]
     frame = spark.createDataFrame(docs, "doc_id int, text string, key string").repartition(4)
