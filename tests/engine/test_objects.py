@@ -1,5 +1,7 @@
 """Paths, inheritance, changes and checks on hand-made objects with null references, empty and sparse collections."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from objekta.model import ClassDef, Schema, collection, inverse, link, literal,
 from objekta.operators import changes, integrity, ordering, sets
 from objekta.operators import collections as C
 from objekta.operators.query import From, column, matching
-from objekta.sources.catalog import Catalog, across
+from objekta.sources.catalog import Catalog, across, scratch_path
 
 SCHEMA = Schema.of(
     ClassDef(
@@ -166,6 +168,14 @@ def test_checks(cat):
     assert got(integrity.inverse_differs(a, a.where("num <> 12"))) == [(2, 12, "one")]
 
 
+def test_scratch_tables_go_to_the_shared_folder():
+    session = lambda folder, master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert scratch_path(session("/shared", "spark://host:7077"), "x").startswith("/shared/x-")
+    assert scratch_path(session(None, "local[4]"), "x") != scratch_path(session(None, "local[4]"), "x")
+    with pytest.raises(RuntimeError):
+        scratch_path(session(None, "spark://host:7077"), "x")
+
+
 def test_export(cat, tmp_path, spark):
     cat.export(str(tmp_path), ["cars"])
     back = Catalog.parquet(spark, SCHEMA, str(tmp_path))
