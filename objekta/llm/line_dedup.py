@@ -9,7 +9,7 @@ that of the smallest doc_id, then the first in its text.
    Each different line then has a number of its own (ref), so that from here on no two are ever taken for one.
 2. MinHash signatures of BANDS x ROWS values; each band is a key of 8 bytes. At a similarity of 0.8 a pair shares a band
    with odds of 1 - (1 - 0.8^4)^14 = 0.9994. Only (band, ref) is shuffled; bands with two lines or more are kept.
-3. Each line is compared with the smallest ref of its bands (a star, salted where it has over STAR lines), by exact Jaccard
+3. Each line is compared with one line of each of its bands (a star, salted where it has over STAR lines), by exact Jaccard
    similarity, and a distributed union-find follows. Lines of a band that are then still in two components are
    compared completely, in blocks of BLOCK lines, so that no link within a band is missed. The union-find is repeated where that found any.
    Tables are deleted once their successors are written.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ BLOCK = 512
 SLOTS = 1 << 27
 #: Characters that are hashed at a time, few enough to stay in a core's cache.
 STEP_CHARS = 1 << 15
+#: Lines that are handled at a time at most.
+STEP_LINES = 1 << 14
 NO_ID = (1 << 63) - 1
 _OUTER = " \t\v\f\r\n"
 
@@ -72,7 +75,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _steps(lines: list[str]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, x in enumerate(lines):
-        if size and size + len(x) > STEP_CHARS:
+        if size and (size + len(x) > STEP_CHARS or i - a == STEP_LINES):
             yield a, i
             a, size = i, 0
         size += len(x) + SHINGLE
@@ -133,7 +136,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        refs, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        refs, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).tolist()
         if not lines:
             continue
         signature = np.concatenate([signatures(lines[a:b]) for a, b in _steps(lines)])
@@ -147,7 +150,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (band, ref). (band, center, ref) of bands with two refs or more; the center is the first."""
+    """Rows come sorted by band. (band, center, ref) of bands with two refs or more; the center is the first that came."""
     last = center = None
     alone = False
     for batch in batches:
@@ -182,11 +185,20 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _keys(lines: list[str], places: np.ndarray) -> np.ndarray:
+    """One number for each different shingle of each line, in order: the line's place, then 48 bits of the shingle's hash."""
+    h, first = shingles(lines)
+    return np.unique((np.repeat(places.astype(np.uint64), np.diff(first)) << np.uint64(48)) | (h >> np.uint64(16)))
+
+
 def _sets(lines: list[str]) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each line."""
     for a, b in _steps(lines):
-        h, first = shingles(lines[a:b])
-        for i in range(b - a):
-            yield np.unique(h[first[i] : first[i + 1]])
+        keys = _keys(lines[a:b], np.arange(b - a))
+        yield from np.split(keys & _LOW, np.searchsorted(keys, np.arange(1, b - a, dtype=np.uint64) << np.uint64(48)))
 
 
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -194,39 +206,52 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (center, salt, member, ref, line) come sorted, the center itself first. One center is held."""
-    center, held = None, None
+    """Rows (center, salt, member, ref, line) come sorted, the center itself first. One center's shingles are held."""
+    held = np.zeros(0, dtype=np.uint64)
     for batch in batches:
+        member, ref, center, lines = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).tolist()
         links = []
-        for c, member, ref, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), _sets(batch.column(4).to_pylist()), strict=True):
-            if not member:
-                center, held = c, own
-            elif c == center and _jaccard(held, own) >= SIMILARITY:
-                links.append((c, ref))
-        yield _link_batch(links)
-
-
-def block_links(refs: list[int], components: list[int], lines: list[str]) -> list[tuple[int, int]]:
-    """Links between lines of different components, enough to connect all that are near."""
-    sets, near = [*_sets(lines)], []
+        for a, b in _steps(lines):
+            keys = np.concatenate([held, _keys(lines[a:b], np.arange(1, b - a + 1))])  # place 0 is that of the center held
+            line = (keys >> np.uint64(48)).astype(np.int64)
+            sizes = np.bincount(line, minlength=b - a + 1)
+            own = np.maximum.accumulate(np.where(member[a:b], 0, np.arange(1, b - a + 1)))  # the place of each line's center
+            center_of = np.r_[0, own]
+            wanted = (center_of[line].astype(np.uint64) << np.uint64(48)) | (keys & _LOW)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            both = np.bincount(line, weights=keys[at] == wanted, minlength=b - a + 1)[1:].astype(np.int64)
+            similar = np.flatnonzero(member[a:b] & (both >= SIMILARITY * (sizes[1:] + sizes[own] - both)))
+            links.append(np.stack([center[a:b][similar], ref[a:b][similar]]))
+            held = keys[line == own[-1]] & _LOW
+        found = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+
+def block_links(refs: list[int], components: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between lines (as sets) of different components, enough to connect all that are near."""
+    near = []
     group = np.unique(np.array(components, dtype=np.int64), return_inverse=True)[1]
-    sizes = np.array([len(s) for s in sets])
-    first = np.cumsum(sizes) - sizes
-    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(distinct), dtype=np.int32)
+    if group.max() == 0:
+        return near
+    wide = len(sets) > 8
+    if wide:
+        sizes = np.array([len(s) for s in sets])
+        first = np.cumsum(sizes) - sizes
+        distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(distinct), dtype=np.int32)
     for k in range(len(sets)):
         others = group != group[k]
         if not others.any():
             continue
-        if len(sets) > 8:
+        if wide:
             own = code[first[k] : first[k] + sizes[k]]
             mark[own] = 1
             both = np.add.reduceat(mark[code], first)
             mark[own] = 0
-            similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes + sizes[k] - both)))
+            similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes + sizes[k] - both))).tolist()
         else:
             similar = [j for j in np.flatnonzero(others).tolist() if _jaccard(sets[k], sets[j]) >= SIMILARITY]
-        for j in [int(x) for x in similar]:
+        for j in similar:
             if group[j] != group[k]:
                 near.append((refs[k], refs[j]))
                 group[group == group[j]] = group[k]
@@ -235,18 +260,21 @@ def block_links(refs: list[int], components: list[int], lines: list[str]) -> lis
 
 def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, low, high, ref, component, line) come sorted by the first three; a group has 2 * BLOCK lines at about most."""
-    key, held = None, []
+    last, refs, components, sets = None, [], [], []
     for batch in batches:
         links = []
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[:3] != key:
-                if len(held) > 1:
-                    links += block_links(*map(list, zip(*held, strict=True)))
-                key, held = row[:3], []
-            held.append(row[3:])
+        places = zip(*[batch.column(k).to_numpy().tolist() for k in range(3)], strict=True)
+        for place, ref, component, own in zip(places, batch.column(3).to_numpy().tolist(), batch.column(4).to_numpy().tolist(), _sets(batch.column(5).to_numpy(zero_copy_only=False).tolist()), strict=True):
+            if place != last:
+                if len(refs) > 1:
+                    links += block_links(refs, components, sets)
+                last, refs, components, sets = place, [], [], []
+            refs.append(ref)
+            components.append(component)
+            sets.append(own)
         yield _link_batch(links)
-    if len(held) > 1:
-        yield _link_batch(block_links(*map(list, zip(*held, strict=True))))
+    if len(refs) > 1:
+        yield _link_batch(block_links(refs, components, sets))
 
 
 def _id() -> Column:
@@ -272,7 +300,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (ref, line) that are near others, a result of cut()."""
     n = partitions(lines.sparkSession)
     bands = lines.select("ref", "line").mapInArrow(_bands, "band long, ref long")
-    dealt = bands.repartition(n, "band").sortWithinPartitions("band", "ref")
+    dealt = bands.repartition(n, "band").sortWithinPartitions("band")
     members = cut(dealt.mapInArrow(_members, "band long, center long, ref long"), "line-bands")
     refs = members.select("ref").distinct()
     texts = cut(_likely(lines.select("ref", "line"), refs).join(refs, "ref", "left_semi"), "line-texts")
@@ -316,9 +344,18 @@ def verdicts(documents: DataFrame) -> DataFrame:
     return cut(each.drop("first_id").join(first, "component").select("high", "low", "component", "first_id"), "line-verdicts", each)
 
 
-def _keep(doc: int, text: str | None, known: list[dict]) -> tuple[list[str], int, int]:
+def _verdicts_of_rows(known: pa.Array) -> Iterator[dict[tuple[int, int], tuple[int, int]]]:
+    """(component, first_id) by (high, low) for each row of a column of lists of verdicts; without a Python object for each struct."""
+    flat = known.flatten()
+    fields = [flat.field(k).to_numpy().tolist() for k in ("high", "low", "component", "first_id")]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(known), 0).to_numpy()).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        high, low, component, first = (f[a:b] for f in fields)
+        yield dict(zip(zip(high, low, strict=True), zip(component, first, strict=True), strict=True))
+
+
+def _keep(doc: int, text: str | None, by: dict[tuple[int, int], tuple[int, int]]) -> tuple[list[str], int, int]:
     """The lines left as written, how many there were and how many went."""
-    by = {(x["high"], x["low"]): (x["component"], x["first_id"]) for x in known}
     out, n, gone, seen = [], 0, 0, set()
     for raw, line in _split(text):
         if line:
@@ -355,8 +392,8 @@ def deduplicate_lines(documents: DataFrame) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, doc, known in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                kept, _, gone = _keep(doc, text, known or [])
+            for text, doc, known in zip(batch.column(at).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 2).to_numpy().tolist(), _verdicts_of_rows(batch.columns[-1]), strict=True):
+                kept, _, gone = _keep(doc, text, known)
                 texts.append("\n".join(kept) if gone else text)
             columns = [pa.array(texts, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns[:-2])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -368,8 +405,8 @@ def deduplicate_lines(documents: DataFrame) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, shas = [], [], []
-        for text, doc, known in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
-            kept, a, b = _keep(doc, text, known or [])
+        for text, doc, known in zip(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().tolist(), _verdicts_of_rows(batch.column(3)), strict=True):
+            kept, a, b = _keep(doc, text, known)
             n.append(a)
             gone.append(b)
             shas.append(hashlib.sha256("\n".join(kept).encode("utf-8", "surrogatepass")).hexdigest())
