@@ -90,5 +90,45 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect()), key=lambda r: r[1]) == want
 
 
+def test_learned_rules_decide_in_the_pipeline(spark, tmp_path):
+    """Labels enough for rules, with null, repeated and unknown ones; ids that several documents share."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    good = lambda: " ".join(word() for _ in range(rng.randrange(40, 90)))
+    bad = lambda: " ".join(word() + rng.choice(["", "##", "$$", "||"]) for _ in range(rng.randrange(40, 90)))
+    rows = [(i, bad() if i % 3 == 0 else good(), "s", "en", 1) for i in range(400)]
+    rows += [(7, good(), "s", "en", 1), (9, bad(), None, "en", 1), (None, good(), "s", "en", 1), (None, bad(), "t", "en", 1), (500, None, "s", "en", 1), rows[4], rows[3]]
+    labels = [(i, 0 if i % 3 == 0 else 1, 0) for i in range(300)] + [(4, 1, 1), (None, 0, 0), (5, None, 0), (9999, 0, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rules = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert rules
+    stats = [r.asDict() for r in quality.statistics(docs, "doc_id", "text").collect()]
+    rejected = lambda r: r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"] or any(all(c.holds(r) for c in rule) for rule in rules)
+    want = Counter((r["doc_id"], r["text"]) for r in stats if not rejected(r))
+    kept = dict(corpus_pipeline.STAGES)["quality"](spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    clean = [r for r in rows if r[1] and not set("#$|") & set(r[1])]
+    assert sum(want[r[0], r[1]] > 0 for r in clean) > 0.97 * len(clean) and len(want) < len(clean) + 10
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {d for d, _ in want} and len(out) > 200
+
+
+def test_nothing_to_do(spark, tmp_path):
+    """Empty tables, and a corpus of which the first stage keeps nothing."""
+    schemas = {"documents": "doc_id long, text string, source string, mix_plan int", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for k, rows in enumerate(([], [(1, "too short", "a", 1), (1, None, None, 1), (None, "", "b", 1)])):
+        folder = f"{tmp_path}/{k}"
+        for name, schema in schemas.items():
+            spark.createDataFrame(rows if name == "documents" else [], schema).write.parquet(f"{folder}/{name}.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        assert corpus_pipeline.run(spark, folder).collect() == []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            empty = stage(spark, docs.limit(0), folder)
+            assert empty.columns == docs.columns and empty.count() == 0, name
+
+
 def test_one_query_for_each_operator():
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
