@@ -64,6 +64,12 @@ def several_databases(spark, d):
     return across({"first": catalog(spark, d), "second": catalog(spark, d)}, "Region")
 
 
+@query("SELECT r_regionkey AS regionkey, r_name AS name FROM region")
+def cursor(spark, d):
+    """Objects that a cursor brings to the driver, a partition at a time."""
+    return spark.createDataFrame([(r.regionkey, r.name) for r in catalog(spark, d).iterate("Region")], "regionkey int, name string")
+
+
 @query("SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def implicit_select(spark, d):
     return matching(catalog(spark, d), "Customer", lambda p: P.equal(p("x.mktsegment"), F.lit("BUILDING")))

@@ -288,6 +288,12 @@ def kinds_of_attributes(spark, d):
     return spark.createDataFrame(rows, "class string, attribute string, kind string")
 
 
+@query("SELECT * FROM (VALUES ('acctbal', 'float'), ('acctbal', 'num'), ('custkey', 'int'), ('custkey', 'num'), ('name', 'string')) t(attribute, kind)")
+def kinds_of_columns(spark, d):
+    rows = _rows(spark, d, "Customer")
+    return spark.createDataFrame([(c, k) for c in ("acctbal", "custkey", "name") for k in conversion.KINDS if conversion.is_kind(rows, c, k)], "attribute string, kind string")
+
+
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def literal_attribute(spark, d):
     return From(catalog(spark, d), e="Event").select("e.event_id", k="e.props.k")
