@@ -198,8 +198,8 @@ f AS (SELECT *, 3 * source_size / w AS room,
 t AS (SELECT source, source_size, least(3.0 * source_size::DOUBLE, coalesce((SELECT level FROM f WHERE level <= room ORDER BY place LIMIT 1), 'inf'::DOUBLE) * w) AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
 v AS (SELECT w.source, w.w, sum(size)::DOUBLE AS words, any_value(target - copies * source_size) AS rest FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY w.source, w.w),
--- k: the smallest k such that the words expected, sum of least(1, k w) size, reach the rest; on each stretch between two weights that become certain it is linear.
-k AS (SELECT a.source, min((a.rest - a.above) / a.below) FILTER ((a.rest - a.above) / a.below * a.w <= 1) AS k FROM (
+-- k: the smallest k such that the words expected, sum of least(1, k w) size, reach the rest. That sum is the least of the lines above + k below, over all weights.
+k AS (SELECT a.source, max((a.rest - a.above) / a.below) AS k FROM (
     SELECT x.source, x.w, x.rest, coalesce(sum(y.words) FILTER (y.w > x.w), 0) AS above, sum(y.w * y.words) FILTER (y.w <= x.w) AS below FROM v x JOIN v y ON x.source IS NOT DISTINCT FROM y.source GROUP BY x.source, x.w, x.rest) a GROUP BY a.source),
 q AS (SELECT w.doc_id, w.source, w.size, w.u, least(1.0, coalesce(k.k, 0) * w.w) AS prob FROM w LEFT JOIN k ON w.source IS NOT DISTINCT FROM k.source),
 r AS (SELECT *, CASE WHEN prob >= 1 THEN 0 WHEN prob <= 0 THEN 'inf'::DOUBLE ELSE (u / (1 - u)) / (prob / (1 - prob)) END AS rank FROM q),
