@@ -46,14 +46,11 @@ BLOCK = 512
 SLOTS = 1 << 27
 #: Characters that are hashed at a time, few enough to stay in a core's cache.
 STEP_CHARS = 1 << 15
-#: Lines that are handled at a time at most.
-STEP_LINES = 1 << 14
 NO_ID = (1 << 63) - 1
 _OUTER = " \t\v\f\r\n"
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P2, _P3 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64), np.uint64(0x9E3779B97F4A7C15**3 % 2**64)
 
@@ -75,7 +72,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _steps(lines: list[str]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, x in enumerate(lines):
-        if size and (size + len(x) > STEP_CHARS or i - a == STEP_LINES):
+        if size and size + len(x) > STEP_CHARS:
             yield a, i
             a, size = i, 0
         size += len(x) + SHINGLE
@@ -123,13 +120,12 @@ def _lines_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """ROWS * BANDS minima for each line."""
+    """ROWS * BANDS minima for each line. The hashes are mixed already, so that odd factors permute them well enough."""
     h, first = shingles(lines)
     h = (h >> np.uint64(32)).astype(np.uint32)
     out, room = np.empty((ROWS * BANDS, len(lines)), dtype=np.uint32), np.empty_like(h)
     for k in range(ROWS * BANDS):
-        np.bitwise_xor(h, _B[k], out=room)
-        np.multiply(room, _A[k], out=room)
+        np.multiply(h, _A[k], out=room)
         np.minimum.reduceat(room, first[:-1], out=out[k])
     return out.T
 
@@ -185,20 +181,11 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_LOW = np.uint64((1 << 48) - 1)
-
-
-def _keys(lines: list[str], places: np.ndarray) -> np.ndarray:
-    """One number for each different shingle of each line, in order: the line's place, then 48 bits of the shingle's hash."""
-    h, first = shingles(lines)
-    return np.unique((np.repeat(places.astype(np.uint64), np.diff(first)) << np.uint64(48)) | (h >> np.uint64(16)))
-
-
 def _sets(lines: list[str]) -> Iterator[np.ndarray]:
-    """The sorted shingle hashes of each line."""
     for a, b in _steps(lines):
-        keys = _keys(lines[a:b], np.arange(b - a))
-        yield from np.split(keys & _LOW, np.searchsorted(keys, np.arange(1, b - a, dtype=np.uint64) << np.uint64(48)))
+        h, first = shingles(lines[a:b])
+        for i in range(b - a):
+            yield np.unique(h[first[i] : first[i + 1]])
 
 
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -206,25 +193,16 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (center, salt, member, ref, line) come sorted, the center itself first. One center's shingles are held."""
-    held = np.zeros(0, dtype=np.uint64)
+    """Rows (center, salt, member, ref, line) come sorted, the center itself first. One center is held."""
+    center, held = None, None
     for batch in batches:
-        member, ref, center, lines = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).tolist()
         links = []
-        for a, b in _steps(lines):
-            keys = np.concatenate([held, _keys(lines[a:b], np.arange(1, b - a + 1))])  # place 0 is that of the center held
-            line = (keys >> np.uint64(48)).astype(np.int64)
-            sizes = np.bincount(line, minlength=b - a + 1)
-            own = np.maximum.accumulate(np.where(member[a:b], 0, np.arange(1, b - a + 1)))  # the place of each line's center
-            center_of = np.r_[0, own]
-            wanted = (center_of[line].astype(np.uint64) << np.uint64(48)) | (keys & _LOW)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            both = np.bincount(line, weights=keys[at] == wanted, minlength=b - a + 1)[1:].astype(np.int64)
-            similar = np.flatnonzero(member[a:b] & (both >= SIMILARITY * (sizes[1:] + sizes[own] - both)))
-            links.append(np.stack([center[a:b][similar], ref[a:b][similar]]))
-            held = keys[line == own[-1]] & _LOW
-        found = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        for c, member, ref, own in zip(batch.column(0).to_numpy().tolist(), batch.column(2).to_pylist(), batch.column(3).to_numpy().tolist(), _sets(batch.column(4).to_numpy(zero_copy_only=False).tolist()), strict=True):
+            if not member:
+                center, held = c, own
+            elif c == center and _jaccard(held, own) >= SIMILARITY:
+                links.append((c, ref))
+        yield _link_batch(links)
 
 
 def block_links(refs: list[int], components: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -233,28 +211,33 @@ def block_links(refs: list[int], components: list[int], sets: list[np.ndarray])
     group = np.unique(np.array(components, dtype=np.int64), return_inverse=True)[1]
     if group.max() == 0:
         return near
+    # In the order of size: a line is only compared with those that follow and are not too large to be near.
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    group, sets = group[order], [sets[i] for i in order.tolist()]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.searchsorted(sizes, sizes / SIMILARITY + 1e-9, side="right").tolist()
     wide = len(sets) > 8
     if wide:
-        sizes = np.array([len(s) for s in sets])
         first = np.cumsum(sizes) - sizes
         distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(len(distinct), dtype=np.int32)
-    for k in range(len(sets)):
-        others = group != group[k]
+    for k, end in enumerate(ends):
+        others = group[k + 1 : end] != group[k]
         if not others.any():
             continue
         if wide:
             own = code[first[k] : first[k] + sizes[k]]
             mark[own] = 1
-            both = np.add.reduceat(mark[code], first)
+            stop = first[end - 1] + sizes[end - 1]
+            both = np.add.reduceat(mark[code[first[k + 1] : stop]], first[k + 1 : end] - first[k + 1])
             mark[own] = 0
-            similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes + sizes[k] - both))).tolist()
+            similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes[k + 1 : end] + sizes[k] - both))).tolist()
         else:
-            similar = [j for j in np.flatnonzero(others).tolist() if _jaccard(sets[k], sets[j]) >= SIMILARITY]
+            similar = [j for j in np.flatnonzero(others).tolist() if _jaccard(sets[k], sets[k + 1 + j]) >= SIMILARITY]
         for j in similar:
-            if group[j] != group[k]:
-                near.append((refs[k], refs[j]))
-                group[group == group[j]] = group[k]
+            if group[k + 1 + j] != group[k]:
+                near.append((refs[order[k]], refs[order[k + 1 + j]]))
+                group[group == group[k + 1 + j]] = group[k]
     return near
 
 
