@@ -40,17 +40,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str, *spent: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
     spent: results of cut() that nothing but this table was made of; their files go once it is written.
+    codec: zstd for size, snappy for a wide table that is read soon and often.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     remove(*spent)

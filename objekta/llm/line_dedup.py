@@ -8,10 +8,10 @@ that of the smallest doc_id, then the first in its text.
 1. Equal lines are met once, by 128 bits of hash (high, low), with the smallest id: first in each batch of documents, then in a shuffle.
    Each different line then has a number of its own (ref), so that from here on no two are ever taken for one.
 2. MinHash signatures of BANDS x ROWS values; each band is a key of 8 bytes. At a similarity of 0.8 a pair shares a band
-   with odds of 1 - (1 - 0.8^4)^14 = 0.9994. Only (band, ref) is shuffled; bands with two lines or more are kept.
+   with odds of 1 - (1 - 0.8^4)^14 = 0.9994. Only (band, ref) is shuffled, many in a row; bands with two lines or more are kept.
 3. Each line is compared with one line of each of its bands (a star, salted where it has over STAR lines), by exact Jaccard
    similarity, and a distributed union-find follows. Lines of a band that are then still in two components are
-   compared completely, in blocks of BLOCK lines, so that no link within a band is missed. The union-find is repeated where that found any.
+   compared completely, in blocks of BLOCK lines, so that no link within a band is missed. What that finds joins components, by a union-find of these.
    Tables are deleted once their successors are written.
 4. Only lines that repeat or are linked travel back, as a list of verdicts for each document.
 
@@ -23,7 +23,7 @@ columns are ignored (digest) or kept (deduplicate_lines).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ ROWS = 4
 BANDS = 14
 STAR = 1000
 BLOCK = 512
+#: Rows (band, ref) that a task holds at a time: 16 MB, some 100 while they are sorted.
+HELD = 1 << 20
 #: Bits of the bitmap that thins lines before a shuffle: 16 MB, however many lines there are.
 SLOTS = 1 << 27
 #: Characters that are hashed at a time, few enough to stay in a core's cache.
@@ -145,47 +147,89 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(refs, BANDS))], ["band", "ref"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band. (band, center, ref) of bands with two refs or more; the center is the first that came."""
-    last = center = None
-    alone = False
+def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, bands, refs): what HELD rows (band, ref) have for one of n parts, as two runs of 8-byte numbers. A shuffle of fewer rows."""
+    for band, ref in _held(batches, lambda: HELD):
+        part = (band.view(np.uint64) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        band, ref = band[order], ref[order]
+        parts, first = np.unique(part[order], return_index=True)
+        ends = np.append(first[1:], len(band))
+        runs = [pa.array([x[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()) for x in (band, ref)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *runs], ["part", "bands", "refs"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        band, ref = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(band):
-            continue
-        new = np.r_[last is None or band[0] != last, band[1:] != band[:-1]]
-        group = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        centers = ref[starts]
-        if not new[0]:
-            centers, group = np.r_[center, centers], group + 1
-        sizes = np.bincount(group, minlength=len(centers))
-        keep = sizes[group] > 1
-        if not new[0]:
-            keep |= group == 0
-        out_band, out_center, out_ref = band[keep], centers[group][keep], ref[keep]
-        if not new[0] and alone:  # the group's first row ended the batch before
-            out_band, out_center, out_ref = np.r_[last, out_band], np.r_[center, out_center], np.r_[center, out_ref]
-        alone = bool(new[-1])
-        last, center = band[-1], centers[group[-1]]
-        if len(out_band):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (out_band, out_center, out_ref)], ["band", "center", "ref"])
+        for bands, refs in zip(batch.column(1), batch.column(2), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), dtype=np.int64)) for x in (bands, refs)], ["band", "ref"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: Callable[[], int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two columns of batches, joined until they have most() rows or more."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+        if size >= most():
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, center, ref) of bands with two refs or more, from rows (band, ref) in any order, all those of a band in one call.
+
+    HELD rows are met at a time; of a band that goes on later only its center is kept, so that a band of any size fits. The center is
+    the least ref of those that came first: lines that share several bands nearly always have the same center in each, and a pair is met once.
+    """
+    known, centers, met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    for band, ref in _held(batches, lambda: max(HELD, len(known))):
+        old = len(known)
+        band, ref = np.concatenate([known, band]), np.concatenate([centers, ref])
+        order = np.argsort(band, kind="stable" if old else None)  # stable: what is known stands first in its band
+        band, ref = band[order], ref[order]
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        sizes = np.diff(np.append(starts, len(band)))
+        least = np.minimum.reduceat(ref, starts)
+        keep = np.repeat(sizes > 1, sizes)
+        told = np.zeros(len(starts), dtype=bool)
+        if old:
+            first = order[starts]
+            is_old = first < old
+            least[is_old] = ref[starts[is_old]]
+            told[is_old] = met[first[is_old]]
+            keep[starts[told]] = False
+        known, centers, met = band[starts], least, told | (sizes > 1)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, np.repeat(least, sizes), ref)], ["band", "center", "ref"])
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays of different values."""
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return 0.0
-    at = np.searchsorted(a, b)
-    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return both / (len(a) + len(b) - both)
+    all_of = np.concatenate((a, b))
+    all_of.sort()
+    both = int(np.count_nonzero(all_of[1:] == all_of[:-1]))
+    return both / (len(all_of) - both)
 
 
 def _sets(lines: list[str]) -> Iterator[np.ndarray]:
+    """The different shingles of each line, sorted: each line is sorted by itself, then repeats go from many lines at once."""
     for a, b in _steps(lines):
         h, first = shingles(lines[a:b])
-        for i in range(b - a):
-            yield np.unique(h[first[i] : first[i + 1]])
+        places = first.tolist()
+        for i, j in zip(places, places[1:], strict=False):
+            h[i:j].sort()
+        new = np.r_[True, h[1:] != h[:-1]]
+        new[first[:-1]] = True
+        places = np.r_[0, np.cumsum(new)][first].tolist()
+        h = h[new]
+        for i, j in zip(places, places[1:], strict=False):
+            yield h[i:j]
 
 
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -205,59 +249,56 @@ def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _link_batch(links)
 
 
-def block_links(refs: list[int], components: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between lines (as sets) of different components, enough to connect all that are near."""
-    near = []
-    group = np.unique(np.array(components, dtype=np.int64), return_inverse=True)[1]
-    if group.max() == 0:
+def _most_common(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, bounds) for runs of rows from k on: no two sets have more values in common than their bound.
+
+    Bits stand for values by their last digits. Common values whose bits fall together are at most the values of either set that share one.
+    """
+    sizes = np.array([len(s) for s in sets])
+    width = 1 << int(max(10, min(16, np.ceil(np.log2(8 * sizes.mean())))))
+    bits = np.zeros((len(sets), width), dtype=bool)
+    bits[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)] = True
+    shared = sizes - bits.sum(axis=1)
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    step = max(1, (1 << 17) // words.size)
+    for k in range(0, len(sets), step):
+        common = np.bitwise_count(words[k : k + step, None] & words[None]).sum(axis=2, dtype=np.int64)
+        yield k, common + np.minimum(shared[k : k + step, None], shared[None])
+
+
+def block_links(components: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the components of lines (as sets), enough to connect all that have near lines."""
+    near, group = [], list(components)
+    if len(set(group)) < 2:
         return near
-    # In the order of size: a line is only compared with those that follow and are not too large to be near.
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    group, sets = group[order], [sets[i] for i in order.tolist()]
     sizes = np.array([len(s) for s in sets])
-    ends = np.searchsorted(sizes, sizes / SIMILARITY + 1e-9, side="right").tolist()
-    wide = len(sets) > 8
-    if wide:
-        first = np.cumsum(sizes) - sizes
-        distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(len(distinct), dtype=np.int32)
-    for k, end in enumerate(ends):
-        others = group[k + 1 : end] != group[k]
-        if not others.any():
-            continue
-        if wide:
-            own = code[first[k] : first[k] + sizes[k]]
-            mark[own] = 1
-            stop = first[end - 1] + sizes[end - 1]
-            both = np.add.reduceat(mark[code[first[k + 1] : stop]], first[k + 1 : end] - first[k + 1])
-            mark[own] = 0
-            similar = np.flatnonzero(others & (both >= SIMILARITY * (sizes[k + 1 : end] + sizes[k] - both))).tolist()
-        else:
-            similar = [j for j in np.flatnonzero(others).tolist() if _jaccard(sets[k], sets[k + 1 + j]) >= SIMILARITY]
-        for j in similar:
-            if group[k + 1 + j] != group[k]:
-                near.append((refs[order[k]], refs[order[k + 1 + j]]))
-                group[group == group[k + 1 + j]] = group[k]
+    names = np.unique(np.array(group, dtype=np.int64), return_inverse=True)[1]
+    for k, bounds in _most_common(sets):
+        rows = np.arange(k, k + len(bounds))
+        total = sizes[rows, None] + sizes[None]
+        possible = (bounds * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6) & (names[rows, None] != names[None]) & (rows[:, None] < np.arange(len(sets)))
+        for i, j in zip(*[x.tolist() for x in np.nonzero(possible)], strict=True):
+            x, y = group[k + i], group[j]
+            if x != y and _jaccard(sets[k + i], sets[j]) >= SIMILARITY:
+                near.append((x, y))
+                group = [x if c == y else c for c in group]
     return near
 
 
 def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, low, high, ref, component, line) come sorted by the first three; a group has 2 * BLOCK lines at about most."""
-    last, refs, components, sets = None, [], [], []
+    """Rows (band, low, high, component, line) come sorted by the first three; a group has 2 * BLOCK lines at about most."""
+    last, components, sets = None, [], []
     for batch in batches:
         links = []
         places = zip(*[batch.column(k).to_numpy().tolist() for k in range(3)], strict=True)
-        for place, ref, component, own in zip(places, batch.column(3).to_numpy().tolist(), batch.column(4).to_numpy().tolist(), _sets(batch.column(5).to_numpy(zero_copy_only=False).tolist()), strict=True):
+        for place, component, own in zip(places, batch.column(3).to_numpy().tolist(), _sets(batch.column(4).to_numpy(zero_copy_only=False).tolist()), strict=True):
             if place != last:
-                if len(refs) > 1:
-                    links += block_links(refs, components, sets)
-                last, refs, components, sets = place, [], [], []
-            refs.append(ref)
+                links += block_links(components, sets)
+                last, components, sets = place, [], []
             components.append(component)
             sets.append(own)
         yield _link_batch(links)
-    if len(refs) > 1:
-        yield _link_batch(block_links(refs, components, sets))
+    yield _link_batch(block_links(components, sets))
 
 
 def _id() -> Column:
@@ -282,9 +323,8 @@ def _likely(lines: DataFrame, refs: DataFrame) -> DataFrame:
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (ref, line) that are near others, a result of cut()."""
     n = partitions(lines.sparkSession)
-    bands = lines.select("ref", "line").mapInArrow(_bands, "band long, ref long")
-    dealt = bands.repartition(n, "band").sortWithinPartitions("band")
-    members = cut(dealt.mapInArrow(_members, "band long, center long, ref long"), "line-bands")
+    packs = lines.select("ref", "line").mapInArrow(lambda batches: _packs(_bands(batches), n), "part int, bands binary, refs binary")
+    members = cut(packs.repartitionById(n, "part").mapInArrow(lambda batches: _members(_unpacked(batches)), "band long, center long, ref long"), "line-bands")
     refs = members.select("ref").distinct()
     texts = cut(_likely(lines.select("ref", "line"), refs).join(refs, "ref", "left_semi"), "line-texts")
 
@@ -298,19 +338,21 @@ def line_links(lines: DataFrame) -> DataFrame:
 
     # Centers have met all lines of their bands; the others of a band meet each other if they are still apart, once for each set of them.
     named = members.where("ref != center").select("band", "ref").join(found, members.ref == found.node, "left").select("band", "ref", F.coalesce("component", "ref").alias("component"))
-    wide = lambda seed: F.sum(F.xxhash64("ref", F.lit(seed)).cast("decimal(20,0)"))
+    wide = lambda seed: F.bit_xor(F.xxhash64("ref", F.lit(seed)))
     split = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), wide(1).alias("set1"), wide(2).alias("set2")).where("x < y")
     split = split.groupBy("n", "set1", "set2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = named.join(split, "band").withColumn("block", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ref", "component").join(texts, "ref")
-    rest = rest.select("band", "low", "high", "ref", "component", "line").repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high")
+    rest = rest.select("band", "low", "high", "component", "line").repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high")
     more = cut(rest.mapInArrow(_verify_blocks, "a long, b long"), "line-links", members, texts, links)
     if more.isEmpty():
         remove(more)
         return found
-    last = connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    remove(more, found)
-    return last
+    # Links between components: few nodes. Lines that were in none stand for themselves.
+    joined = connected_components(more)
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    last = found.join(renamed, "component", "left").select("node", F.coalesce("least", "component").alias("component")).unionByName(joined).distinct()
+    return cut(last, "line-components", more, found, joined)
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
@@ -319,7 +361,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     # Dealt before they are summed: they are sorted once, and what repeats within a batch is summed already.
     dealt = rows.repartition(partitions(documents.sparkSession), "high", "low")
     lines = dealt.groupBy("high", "low").agg(F.min("id").alias("first_id"), F.sum("n").alias("n"), F.first("line").alias("line"))
-    lines = cut(lines.withColumn("ref", F.monotonically_increasing_id()), "lines")
+    lines = cut(lines.withColumn("ref", F.monotonically_increasing_id()), "lines", codec="snappy")
     found = line_links(lines)
     each = lines.join(found, lines.ref == found.node, "left").where("n > 1 or component is not null").select("high", "low", "first_id", F.coalesce("component", "ref").alias("component"))
     each = cut(each, "line-each", lines, found)

@@ -159,3 +159,59 @@ def test_bitmap_lets_all_wanted_lines_through(spark, monkeypatch):
         monkeypatch.setattr(ld, "SLOTS", slots)
         got = {r.ref for r in ld._likely(lines, wanted).collect()}
         assert {r.ref for r in wanted.collect()} <= got and len(got) <= most
+
+
+def band_batches(rows, size):
+    return [pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[i : i + size]], pa.int64()), pa.array([r for _, r in rows[i : i + size]], pa.int64())], ["band", "ref"]) for i in range(0, len(rows), size)]
+
+
+def test_lines_that_share_bands_have_one_center():
+    """Whatever order they come in: so a pair is compared once, not once for each center."""
+    rows = [(b, r) for b, refs in enumerate([(5, 3, 9), (9, 5, 3), (3, 9, 5), (9, 3), (8,)]) for r in refs]
+    got = [(r["band"], r["center"], r["ref"]) for x in ld._members(iter(band_batches(rows, 100))) for r in x.to_pylist()]
+    assert sorted(got) == sorted((b, 3, r) for b, r in rows if b < 4)
+
+
+@pytest.mark.parametrize("held", [1, 3, 50, 1 << 20])
+def test_packed_bands_come_whole(monkeypatch, held):
+    monkeypatch.setattr(ld, "HELD", held)
+    rng = random.Random(held)
+    bands = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(60)]
+    rows = [(b, i * 100 + r) for i, b in enumerate(bands) for r in range(rng.choice([1, 1, 2, 3, 40]))]
+    rng.shuffle(rows)
+    parts = {}
+    for x in ld._packs(iter(band_batches(rows, 7)), 5):
+        for row in x.to_pylist():
+            parts.setdefault(row["part"], []).append(row)
+    assert set(parts) <= set(range(5)) and len(parts) > 1
+    schema = pa.schema([("part", pa.int32()), ("bands", pa.binary()), ("refs", pa.binary())])
+    got = [r for own in parts.values() for x in ld._members(ld._unpacked(iter([pa.RecordBatch.from_pylist(own, schema)]))) for r in x.to_pylist()]
+    sizes = Counter(b for b, _ in rows)
+    assert Counter((r["band"], r["ref"]) for r in got) == Counter((b, r) for b, r in rows if sizes[b] > 1)
+    centers = {(r["band"], r["center"]) for r in got}
+    assert len(centers) == len({b for b, _ in centers}) and centers <= set(rows)
+
+
+def test_block_links_against_brute_force():
+    rng = random.Random(11)
+    for n in (2, 7, 30, 200):
+        base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([9, 80, 900]))) for _ in range(max(1, n // 6))]
+        lines = []
+        for _ in range(n):
+            w = list(rng.choice(base))
+            for _ in range(rng.randrange(0, 1 + len(w) // 40)):
+                w[rng.randrange(len(w))] = rng.choice("abcdefgh ")
+            lines.append("".join(w))
+        sets = list(ld._sets(lines))
+        assert [len(s) for s in sets] == [len(shingle_set(x)) for x in lines]
+        common = [[len(shingle_set(x) & shingle_set(y)) for y in lines] for x in lines]
+        bounds = [row for _, b in ld._most_common(sets) for row in b.tolist()]
+        assert len(bounds) == n and all(a <= b for x, y in zip(common, bounds, strict=True) for a, b in zip(x, y, strict=True))
+        up = list(range(n))  # the links join exactly what is near
+        for a, b in ld.block_links(list(range(n)), sets):
+            assert up[a] != up[b]
+            up = [up[a] if c == up[b] else c for c in up]
+        near = {(i, j) for i in range(n) for j in range(i) if common[i][j] >= ld.SIMILARITY * (len(sets[i]) + len(sets[j]) - common[i][j])}
+        want = components(lines)
+        assert near and all((up[i] == up[j]) == (want[lines[i]] == want[lines[j]]) for i in range(n) for j in range(i))
+        assert ld.block_links([4] * n, sets) == []
